@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillshift.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from quillshift.llm.html_extract import op1_html_extract
 from quillshift.llm.topk_search import OP10_SQL, op10_exact_topk
+from quillshift.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op4_exact_dedup": op4_exact_dedup,
+        "op9_warc": op9_warc,
         "op10_exact_topk": op10_exact_topk,
     }
 
@@ -20,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
+        "op9_warc": OP9_SQL,
         "op10_exact_topk": OP10_SQL,
     }
