@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillshift.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillshift.llm.html_extract import op1_html_extract
+from quillshift.llm.packing import op8_packing
+from quillshift.llm.quality import op6_quality
 from quillshift.llm.topk_search import OP10_SQL, op10_exact_topk
 from quillshift.llm.warc import OP9_SQL, op9_warc
 
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_quality": op6_quality,
+        "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_exact_topk": op10_exact_topk,
     }
