@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillshift.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillshift.llm.html_extract import op1_html_extract
+from quillshift.llm.mixing import op3_mixing
 from quillshift.llm.packing import op8_packing
 from quillshift.llm.quality import op6_quality
+from quillshift.llm.token_counts import op5_token_counts
 from quillshift.llm.topk_search import OP10_SQL, op10_exact_topk
 from quillshift.llm.warc import OP9_SQL, op9_warc
 
@@ -17,7 +19,9 @@ from quillshift.llm.warc import OP9_SQL, op9_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
