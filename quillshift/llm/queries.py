@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillshift.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillshift.llm.html_extract import op1_html_extract
+from quillshift.llm.jaccard_join import op7_jaccard_join
 from quillshift.llm.mixing import op3_mixing
 from quillshift.llm.packing import op8_packing
 from quillshift.llm.quality import op6_quality
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_exact_topk": op10_exact_topk,
