@@ -175,15 +175,22 @@ def mix_sources(
     return picked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("one"))).alias("taken"))
 
 
-def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+def expand_mix(docs: DataFrame, mix: DataFrame, broadcast_rows: int = 500_000, text_col: str = "text") -> DataFrame:
+    """``docs`` (all its columns), each row as many times as ``mix`` takes it.
 
+    A row is known by its id and size; documents without words are taken once.  Up to
+    ``broadcast_rows`` documents the repeats are broadcast (20 bytes each) and no text is
+    shuffled; beyond, both sides are.
+    """
+    times = mix.groupBy(F.col("doc_id").alias("_qs_id"), F.col("size").alias("_qs_size")).agg(
+        F.when(F.col("_qs_size") > 0, F.max("taken") / F.col("_qs_size")).otherwise(1).cast("int").alias("_qs_n")
+    )
+    times = checkpointed(times.filter("_qs_n > 0"))
+    hint = F.broadcast if times.count() <= broadcast_rows else (lambda d: d)
+    sized = docs.withColumn("_qs_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    out = sized.join(hint(times), sized["doc_id"].eqNullSafe(times["_qs_id"]) & (F.col("_qs_words") == F.col("_qs_size")))
+    return out.withColumn("_qs_nth", F.explode(F.sequence(F.lit(1), F.col("_qs_n")))).select(*[docs[c] for c in docs.columns])
 
-def expand_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """``docs`` with each row as many times as ``mix`` takes it; documents without words, once.
 
-    The mix of a document is joined by id; ids must be unique.
-    """
-    times = mix.select(F.col("doc_id").alias("_qs_id"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("_qs_n")).filter("_qs_n > 0")
-    out = docs.join(times, docs["doc_id"] == times["_qs_id"])
-    return out.withColumn("_qs_nth", F.explode(F.sequence(F.lit(1), F.col("_qs_n")))).drop("_qs_id", "_qs_n", "_qs_nth")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillshift.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillshift.llm.html_extract import op1_html_extract
 from quillshift.llm.jaccard_join import op7_jaccard_join
+from quillshift.llm.line_dedup import op2_line_dedup
 from quillshift.llm.mixing import op3_mixing
 from quillshift.llm.packing import op8_packing
 from quillshift.llm.quality import op6_quality
@@ -20,6 +21,7 @@ from quillshift.llm.warc import OP9_SQL, op9_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_line_dedup": op2_line_dedup,
         "op3_mixing": op3_mixing,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_counts": op5_token_counts,
