@@ -179,10 +179,10 @@ def type_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT conv_id, turn, list_aggregate(list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z0-9_\s]+'), lambda x: trim(x, E' \t\n\r') <> ''),
-       lambda x: '[' || regexp_replace(trim(x, E' \t\n\r'), '\s+', '_', 'g') || ']'), 'string_agg', '') AS composition FROM conversations WHERE turn = 0
+       lambda x: '[' || regexp_replace(trim(x, E' \t\n\r'), '\s+', '_', 'g') || ']'), 'string_agg', '') AS composition FROM conversations
 """)
 def composition_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "turn", T.composition_of_text(F.col("text")).alias("composition"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.composition_of_text(F.col("text")).alias("composition"))
 
 
 # ---- positions and programs
@@ -472,14 +472,15 @@ def merged_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH g AS (SELECT CAST(user_id % 4 AS VARCHAR) AS user_group, event_type, value FROM events),
-c AS (SELECT user_group, avg(value) FILTER (event_type = 'click') AS click, avg(value) FILTER (event_type = 'purchase') AS purchase, avg(value) FILTER (event_type = 'view') AS view FROM g GROUP BY 1)
-SELECT user_group, round(click, 6) AS click, round(purchase, 6) AS purchase, round(view, 6) AS view FROM c
-UNION ALL SELECT 'mean', round(avg(click), 6), round(avg(purchase), 6), round(avg(view), 6) FROM c
+c AS (SELECT user_group, avg(value) FILTER (event_type = 'click') AS click, avg(value) FILTER (event_type = 'error') AS error, avg(value) FILTER (event_type = 'purchase') AS purchase,
+      avg(value) FILTER (event_type = 'signup') AS signup, avg(value) FILTER (event_type = 'view') AS view FROM g GROUP BY 1)
+SELECT user_group, round(click, 6) AS click, round(error, 6) AS error, round(purchase, 6) AS purchase, round(signup, 6) AS signup, round(view, 6) AS view FROM c
+UNION ALL SELECT 'mean', round(avg(click), 6), round(avg(error), 6), round(avg(purchase), 6), round(avg(signup), 6), round(avg(view), 6) FROM c
 """)
 def result_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("string").alias("user_group"), "event_type", "value")
-    kinds = ["click", "purchase", "view"]
-    made = metrics.result_matrix(e.filter(F.col("event_type").isin(kinds)), "user_group", "event_type", "value", kinds)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    made = metrics.result_matrix(e, "user_group", "event_type", "value", kinds)
     return made.select("user_group", *[F.round(c, 6).alias(c) for c in kinds])
 
 
