@@ -108,23 +108,27 @@ def _grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict |
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric relation given as a square matrix."""
-    n, seen, edges = len(linked), np.zeros(len(linked), dtype=bool), []
+def stars(linked: np.ndarray, names: np.ndarray) -> tuple[list[str], list[str]]:
+    """The components of a symmetric relation, each as edges from its members to the least name.
+
+    Tasks that see the same group then mostly emit the same edges, which combine.
+    """
+    seen = np.zeros(len(linked), dtype=bool)
+    ends: list[str] = []
+    heads: list[str] = []
     for root in np.flatnonzero(linked.any(axis=1)):
         if seen[root]:
             continue
-        seen[root] = True
-        queue = [int(root)]
-        while queue:
-            a = queue.pop()
-            new = np.flatnonzero(linked[a] & ~seen)
-            seen[new] = True
-            edges += [(a, int(b)) for b in new]
-            queue += new.tolist()
-            if seen.all():
-                return edges
-    return edges
+        inside = np.zeros(len(linked), dtype=bool)
+        front = np.array([root])
+        while len(front):
+            inside[front] = True
+            front = np.flatnonzero(linked[front].any(axis=0) & ~inside)
+        seen |= inside
+        group = sorted(names[inside])
+        ends += group[1:]
+        heads += [group[0]] * (len(group) - 1)
+    return ends, heads
 
 
 def _sketches(column: pd.Series) -> np.ndarray:
@@ -181,11 +185,12 @@ def jaccard_classes(
     never a class id unless the class has no other.  An empty table gives an empty table.
 
     Documents of equal sets are one node (never expanded to pairs).  Nodes that stay large
-    are searched in pairs of blocks; a candidate component likewise.  A block task emits a
-    spanning forest and one count per node, never its pairs.
+    are searched in pairs of blocks; a candidate component likewise.  A block task emits
+    one edge and one count for each node at most, never its pairs.
     """
     runs = math.ceil(math.log(1 - target_recall) / math.log(1 - threshold**2))
-    loose = (threshold - 0.15) * COORDINATES
+    # five standard deviations of the estimate below the threshold
+    loose = (threshold - 0.25) * COORDINATES
 
     def sets_of(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -224,12 +229,11 @@ def jaccard_classes(
             split = checkpointed(split)
         sizes = checkpointed(
             split.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("who")).filter("size > 1")
-            # the same sets met again, in another run, are searched once
-            .groupBy("size", "who").agg(F.min("node").alias("node"))
         )
         last = d == depth - 1
+        # members met again, in another run, are searched once; large nodes split each in its own way
         small = sizes if last else sizes.filter(F.col("size") <= bucket)
-        buckets.append(split.join(small.select("node", "size"), "node"))
+        buckets.append(split.join(small.groupBy("size", "who").agg(F.min("node").alias("node")).select("node", "size"), "node"))
         if last or sizes.filter(F.col("size") > bucket).isEmpty():
             break
         large = split.join(sizes.filter(F.col("size") > bucket).select("node"), "node")
@@ -250,9 +254,8 @@ def jaccard_classes(
             return None
         near = _agree(_sketches(pdf["sketch"])) >= loose
         np.fill_diagonal(near, False)
-        edges = forest(near)
-        rid = pdf["rid"].to_numpy()
-        return {"a": rid[[a for a, _ in edges]], "b": rid[[b for _, b in edges]]} if edges else None
+        ends, heads = stars(near, pdf["rid"].to_numpy())
+        return {"a": ends, "b": heads} if ends else None
 
     held = blocks(members, "node", "size", bucket).join(reps.select("rid", "sketch"), "rid")
     candidates = _grouped(held, ["node", "i", "j"], search, ["a", "b"], "a string, b string")
@@ -278,13 +281,14 @@ def jaccard_classes(
         # pairs within one part belong to the block (i, i) alone
         across = linked if i == j else linked & (own[:, None] != own[None, :])
         count = across @ pdf["copies"].to_numpy().astype(np.float64)
-        rid, edges, has = pdf["rid"].to_numpy(), forest(linked), np.flatnonzero(count)
-        if not len(has) and not edges:
+        rid, has = pdf["rid"].to_numpy(), np.flatnonzero(count)
+        ends, heads = stars(linked, rid)
+        if not len(has) and not ends:
             return None
         return {
-            "a": np.concatenate([rid[has], rid[[a for a, _ in edges]]]),
-            "b": np.concatenate([np.full(len(has), None, dtype=object), rid[[b for _, b in edges]]]),
-            "links": np.concatenate([count[has].astype(np.int64), np.zeros(len(edges), dtype=np.int64)]),
+            "a": [*rid[has], *ends],
+            "b": [*[None] * len(has), *heads],
+            "links": [*count[has].astype(np.int64).tolist(), *[0] * len(ends)],
         }
 
     found = checkpointed(_grouped(blocks(wholes, "comp", "size", block), ["comp", "i", "j"], verify, ["a", "b", "links"], "a string, b string, links long"))
