@@ -305,7 +305,7 @@ def test_intersections_and_sketches():
 
 # ---- lines
 
-_SHINGLE = re.compile(r"(?s)(?=(\S.{0,7}))(?:[^\W_]+|\S)")
+_SHINGLE = re.compile(r"(?s)(?=(\S.{0,7}))(?:[^\W_]{1,16}[!-/:-@\[-`{-~]*|\S)")
 
 
 def brute_lines(rows, threshold=0.8):
