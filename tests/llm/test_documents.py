@@ -362,3 +362,33 @@ def test_lines_of_odd_rows(odd):
     out = drop_repeated_lines(odd)
     assert out.count() == 11 and out.filter("text is null").count() == 2
     assert out.filter("doc_id = 4").first()["text"] == "" and drop_repeated_lines(odd.limit(0)).count() == 0
+
+
+def all_shingle_lines(rows, threshold=0.8):
+    """As ``brute_lines``, on the set of all character shingles."""
+    places = [(d, i, x.strip(" \t\r\x0b\x0c").lower()) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in places if x}
+    head = {x: x for x in sets}
+    for x, y in itertools.combinations(sets, 2):
+        if len(sets[x] & sets[y]) >= threshold * len(sets[x] | sets[y]) - 1e-9:
+            head = {k: head[x] if v == head[y] else v for k, v in head.items()}
+    first = {}
+    for d, i, x in places:
+        if x:
+            first[head[x]] = min(first.get(head[x], (d, i)), (d, i))
+    return {(d, i): first[head[x]] == (d, i) for d, i, x in places if x}
+
+
+def test_lines_count_all_shingles(spark):
+    rng = random.Random(5)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    digits = ["".join(rng.choices("0123456789abcdef", k=16)) for _ in range(6)]
+    texts = [
+        "Verantwortlich", "Verantwortung", "order 1234567812345678 shipped", "order 1234567899999999 shipped",
+        *[digits[0][:8] + d[8:] + d for d in digits], han, han[:3] + "一" + han[3:], "abc", "abcd", "ABC ", "12345678", "123456789",
+        "x" * 40, "x" * 41, "one line; with marks!!! and more of them...", "one line; with marks??? and more of them...",
+    ]
+    rows = list(enumerate(texts))
+    want = all_shingle_lines(rows)
+    assert {(r["doc_id"], r["line_no"]): r["kept"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()} == want
+    assert want[0, 0] and want[1, 0] and want[3, 0] and not want[11, 0]
