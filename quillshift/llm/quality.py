@@ -8,6 +8,7 @@ diagonal, its Cholesky factor is computed once, and scoring is a triangular prod
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +41,10 @@ def statistics(text: str | None) -> list[float]:
     upper, lower, high = int(h[65:91].sum()), int(h[97:123].sum()), int(h[192:].sum())
     letters = upper + lower + high
     same = sum(map(str.__eq__, words, words[1:])) if n > 1 else 0
-    distinct = len(set(words))
+    counts = Counter(words)
+    distinct = len(counts)
     pairs = len(set(zip(words, words[1:], strict=False)))
-    top = max(map(words.count, set(words[:3])), default=0)
+    top = max(counts.values(), default=0)
     stops = sum(map(COMMON.__contains__, words))
 
     def part(x: float, of: float, usual: float, weight: float) -> float:

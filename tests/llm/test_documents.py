@@ -16,7 +16,7 @@ from quillshift.llm.jaccard_join import intersections, jaccard_classes, keep_one
 from quillshift.llm.line_dedup import drop_repeated_lines, line_classes
 from quillshift.llm.mixing import expand_mix, fit_budget, fit_targets, mix_sources
 from quillshift.llm.packing import best_fit, pack_documents, token_pieces
-from quillshift.llm.quality import keep_quality, score_quality
+from quillshift.llm.quality import FEATURES, keep_quality, score_quality, statistics
 from quillshift.llm.token_counts import TokenTree, apply_edits, build_trees, counter
 from quillshift.llm.word_cache import WordEncoder
 
@@ -392,3 +392,10 @@ def test_lines_count_all_shingles(spark):
     want = all_shingle_lines(rows)
     assert {(r["doc_id"], r["line_no"]): r["kept"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()} == want
     assert want[0, 0] and want[1, 0] and want[3, 0] and not want[11, 0]
+
+
+def test_top_word_is_that_of_the_whole_text():
+    at = FEATURES.index("top_word")
+    first = [f"w{i}" for i in range(40)]
+    assert statistics(" ".join([*first, *["spam"] * 60]))[at] == statistics(" ".join([*["spam"] * 60, *first]))[at]
+    assert statistics(" ".join([*first, *["spam"] * 60]))[at] == pytest.approx(np.log((60 + 0.02 * 60) / (100 + 60)))
