@@ -41,9 +41,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: float, capacity:
 
     Budgets over ``capacity`` first take a proportional share of every length, then the
     longest that still fit; what is left is a bounded knapsack over the lengths up to it.  An overshoot is chosen where it is nearer.  Memory is O(capacity).
+    Documents without words fit any budget in any number: none is taken.
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    lengths, counts = np.asarray(lengths).astype(np.int64), np.asarray(counts).astype(np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
+    worded = lengths > 0
+    if not worded.all():
+        take[worded] = fit_budget(lengths[worded], counts[worded], budget, capacity)
+        return take
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return take
@@ -117,6 +122,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     rows_per_salt: int = 20_000,
+    broadcast_sources: int = 100_000,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each row of ``docs``.
 
@@ -126,7 +132,8 @@ def mix_sources(
     seeded hash of the id, so reruns agree; rows that repeat an id and a length are alike and
     any of them may be taken.  An empty table gives an empty table; other columns are ignored.
 
-    Only (id, source, length) is shuffled.  Length counts of one source are fitted in one
+    A row for each source reaches the driver, where targets are shared out; it is broadcast up
+    to ``broadcast_sources`` of them and shuffled beyond.  Only (id, source, length) is shuffled.  Length counts of one source are fitted in one
     task; their number is that of distinct lengths, not of documents.  Ranks are taken within
     (source, length, salt), and only in the salt where the count runs out.
     """
@@ -162,7 +169,7 @@ def mix_sources(
     shares = (
         counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
         .join(fitted, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size")))
-        .join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))
+        .join(F.broadcast(plan) if len(ranked) <= broadcast_sources else plan, F.col("source").eqNullSafe(F.col("p_source")))
         .select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("salt").alias("s_salt"), "n", "passes", "source_size", "target",
                 F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))).alias("some"))
     )
@@ -178,19 +185,32 @@ def mix_sources(
 def expand_mix(docs: DataFrame, mix: DataFrame, broadcast_rows: int = 500_000, text_col: str = "text") -> DataFrame:
     """``docs`` (all its columns), each row as many times as ``mix`` takes it.
 
-    A row is known by its id and size; documents without words are taken once.  Up to
-    ``broadcast_rows`` documents the repeats are broadcast (20 bytes each) and no text is
-    shuffled; beyond, both sides are.
+    A row is known by its id and size; documents without words are taken once.  Rows that
+    repeat an id and a size share the sum of their times, which differ by one at most.  Up to
+    ``broadcast_rows`` documents the repeats are broadcast (28 bytes each) and no text is
+    shuffled; beyond, both sides are.  Null and empty texts and null ids are rows like others; an
+    empty table gives an empty table; other columns are kept.
     """
     times = mix.groupBy(F.col("doc_id").alias("_qs_id"), F.col("size").alias("_qs_size")).agg(
-        F.when(F.col("_qs_size") > 0, F.max("taken") / F.col("_qs_size")).otherwise(1).cast("int").alias("_qs_n")
+        F.when(F.col("_qs_size") > 0, F.sum("taken") / F.col("_qs_size")).otherwise(F.count(F.lit(1))).cast("long").alias("_qs_times"),
+        F.count(F.lit(1)).alias("_qs_rows"),
     )
-    times = checkpointed(times.filter("_qs_n > 0"))
-    hint = F.broadcast if times.count() <= broadcast_rows else (lambda d: d)
+    times = checkpointed(times.filter("_qs_times > 0"))
+    total, uneven = times.agg(F.count(F.lit(1)), F.count_if(F.col("_qs_times") % F.col("_qs_rows") != 0)).first()
+    hint = F.broadcast if total <= broadcast_rows else (lambda d: d)
     sized = docs.withColumn("_qs_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     out = sized.join(hint(times), sized["doc_id"].eqNullSafe(times["_qs_id"]) & (F.col("_qs_words") == F.col("_qs_size")))
+    each = F.floor(F.col("_qs_times") / F.col("_qs_rows")).cast("int")
+    if uneven:
+        rest = F.col("_qs_times") % F.col("_qs_rows")
+        nth = F.row_number().over(Window.partitionBy("_qs_id", "_qs_size").orderBy(F.xxhash64(text_col)))
+        out = out.filter(rest == 0).withColumn("_qs_n", each).unionByName(out.filter(rest != 0).withColumn("_qs_n", each + (nth <= rest).cast("int")))
+        out = out.filter("_qs_n > 0")
+    else:
+        out = out.withColumn("_qs_n", each)
     return out.withColumn("_qs_nth", F.explode(F.sequence(F.lit(1), F.col("_qs_n")))).select(*[docs[c] for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents`` by the weights 5, 2, 1, at most three times each."""
     return mix_sources(table(spark, sf_dir, "documents"))

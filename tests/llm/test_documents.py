@@ -107,6 +107,25 @@ def test_budget_is_met_as_near_as_can_be():
     assert abs(int((take * big).sum()) - 123_456_789.4) < 1
 
 
+def test_budget_with_empty_texts():
+    for lengths, counts, budget in (([0, 5, 7], [1, 1, 1], 6.0), ([0], [4], 3.0), ([0, 9], [2, 1], 2.0), ([0, 100_000], [3, 2], 150_000.0), ([], [], 5.0), ([0, 3], [1, 2], 1e9)):
+        take = fit_budget(np.array(lengths), np.array(counts), budget)
+        assert len(take) == len(lengths) and all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and not any(t for t, n in zip(take, lengths, strict=True) if not n)
+
+
+def test_mix_with_empty_texts_in_every_source(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["", None, " ", "a b", "c " * rng.randint(3, 9), "w " * 50]), s) for i, s in enumerate(["a", "b", "c", None] * 40)]
+    rows += [(1000 + i, "", "d") for i in range(5)] + [(3, "a b", "a"), (3, "x y", "b"), (3, "x y", "b"), (None, "a b", "a"), (None, "a b", "a")]
+    df = docs(spark, rows)
+    mix = mix_sources(df)
+    assert mix.count() == len(rows) and mix.filter("size = 0 and taken <> 0 or taken > 3 * size").isEmpty()
+    out = expand_mix(df, mix)
+    # what the mix takes is what comes out, repeated ids included
+    assert out.count() == mix.selectExpr("sum(if(size > 0, taken div size, 1))").first()[0]
+    assert expand_mix(df.limit(0), mix_sources(df.limit(0))).count() == 0
+
+
 def test_mix_of_odd_rows(odd):
     first, again = (sorted(map(str, mix_sources(odd).collect())) for _ in range(2))
     assert first == again and len(first) == 11
