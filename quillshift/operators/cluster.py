@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillshift.functions import text as T
+from quillshift.operators.components import components
 from quillshift.sources.shared import checkpointed
 
 
@@ -38,11 +39,18 @@ def mixed_distance(alpha: float, vec: tuple[Column, Column], num: tuple[Column,
 def by_columns(df: DataFrame, keys: Sequence[str], out: str = "cluster_id") -> DataFrame:
     """Number the distinct values of ``keys`` in their order and add the number.
 
-    Only the distinct values are ordered, not the rows; they are joined back.
+    Only the distinct values are ordered, by range partitions: a value's number is its place in
+    its partition and what the partitions before it hold, so no task sees all of them.
     """
     names = [f"_k{i}" for i in range(len(keys))]
+    order = [F.col(n).asc_nulls_first() for n in names]
     groups = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
-    numbered = groups.withColumn(out, F.row_number().over(Window.orderBy(*[F.col(n).asc_nulls_first() for n in names])) - 1)
+    ranged = checkpointed(groups.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(starts), "_part").select(*names, (F.col("_start") + F.col("_place")).alias(out))
     on = F.lit(True)
     for k, n in zip(keys, names, strict=True):
         on = on & F.col(k).eqNullSafe(F.col(n))
@@ -72,13 +80,13 @@ def sparse_stats(df: DataFrame, key: str = "collapsed", t: Thresholds = Threshol
     )
 
 
-def relax_until_dense(df: DataFrame, pattern: str = "collapsed", t: Thresholds = Thresholds(), max_rounds: int = 40) -> DataFrame:
+def relax_until_dense(df: DataFrame, pattern: str = "collapsed", t: Thresholds = Thresholds()) -> DataFrame:
     """Drop the rarest symbols from the patterns of sparse clusters while too many are sparse.
 
-    Works on distinct patterns, which stay few, and joins the result back as ``relaxed``.
+    Each round drops a symbol at least, so it ends.  Works on distinct patterns, which stay few, and joins the result back as ``relaxed``.
     """
     patterns = checkpointed(df.groupBy(F.col(pattern).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("relaxed", F.col("_p")))
-    for _ in range(max_rounds):
+    while True:
         sizes = patterns.groupBy("relaxed").agg(F.sum("_n").alias("size"))
         clusters, sparse = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("size") < t.sparse)).first()
         if not (sparse > t.sparse_count and sparse >= t.sparse_share * clusters):
@@ -113,11 +121,11 @@ def close_pairs(df: DataFrame, eps: float, id_col: str, vec: str, distance: Call
     return left.join(right, on).filter(distance(F.col("va"), F.col("vb")) <= eps).select("a", "b")
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Callable[[Column, Column], Column] = cosine_distance, within: str | None = None, max_rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Callable[[Column, Column], Column] = cosine_distance, within: str | None = None) -> DataFrame:
     """(id, label): the smallest core id of the cluster, -1 for noise.
 
     A core has ``min_samples`` rows within ``eps``, itself included; a border row joins its
-    smallest core neighbour's cluster.  Labels spread by minimum with a checkpoint each round.
+    smallest core neighbour's cluster.  Cores within ``eps`` of each other are joined by union-find.
     """
     pairs = checkpointed(close_pairs(df, eps, id_col, vec, distance, within))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -125,15 +133,9 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id",
     ids = df.select(F.col(id_col).alias("id"))
     core = ids.join(degree, ids["id"] == degree["a"], "left").filter(F.coalesce("deg", F.lit(1)) >= min_samples).select("id")
     core = checkpointed(core)
-    links = checkpointed(both.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b"))
-    label = core.select("id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
-        near = links.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = checkpointed(label.join(near, label["id"] == near["a"], "left").select("id", F.least("label", F.coalesce("low", "label")).alias("new"), "label"))
-        moved = new.filter("new < label").isEmpty()
-        label = new.select("id", F.col("new").alias("label"))
-        if moved:
-            break
+    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
+    joined = checkpointed(components(links))
+    label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("root", "id").alias("label"))
     border = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
     return ids.join(label, "id", "left").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("label", "near_label", F.lit(-1)).alias("label"))
 
@@ -149,11 +151,35 @@ def knee(xs: Sequence[float], ys: Sequence[float]) -> float | None:
     return xs[best] if off[best] > 0 else None
 
 
+def label_counts(df: DataFrame, xs: Sequence[float], id_col: str = "vec_id", vec: str = "embedding") -> list[int]:
+    """How many labels density clustering with two rows gives at each eps of the ascending ``xs``; noise counts as one.
+
+    With two rows a cluster is a component of the graph of close pairs.  Distances are taken
+    once, and each eps joins only components that are still apart.
+    """
+    left, right = (df.select(F.col(id_col).alias(n), F.col(vec).alias(f"v{n}")) for n in "ab")
+    far = cosine_distance(F.col("va"), F.col("vb")).alias("d")
+    pairs = checkpointed(left.join(right, F.col("a") < F.col("b")).select("a", "b", far).filter(F.col("d") <= max(xs)))
+    total = df.count()
+    roots = checkpointed(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0))
+    counts, low = [], -1.0
+    for x in xs:
+        new = pairs.filter((F.col("d") > low) & (F.col("d") <= x))
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        ends = new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        joined = checkpointed(components(ends.filter("a <> b").distinct()))
+        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = checkpointed(moved.unionByName(joined.join(roots, "node", "left_anti")))
+        held, groups = roots.agg(F.count(F.lit(1)), F.count_distinct("root")).first()
+        counts.append(groups + (held < total))
+        low = x
+    return counts
+
+
 def knee_eps(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", steps: int = 10, default: float = 0.5) -> float:
     """Sweep eps over [0.1, 1.0] and take the knee of the number of labels (noise counts as one)."""
     xs = [round(0.1 + 0.9 * i / (steps - 1), 6) for i in range(steps)]
-    ys = [dbscan(df, x, 2, id_col, vec).select("label").distinct().count() for x in xs]
-    return knee(xs, ys) or default
+    return knee(xs, label_counts(df, xs, id_col, vec)) or default
 
 
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillshift.operators import cluster, metrics, relational
+from quillshift.operators.components import components
 
 VECS = [(0, "a", [1.0, 0.0]), (1, "a", [0.99, 0.05]), (2, "a", [0.98, 0.1]), (3, "b", [0.0, 1.0]), (4, "b", [0.05, 0.99]), (5, "b", [0.1, 0.97]), (6, "c", [0.7, 0.6])]
 
@@ -90,3 +91,28 @@ def test_relational(spark):
     assert {tuple(r) for r in relational.prefix_join(t, p, "t", "p").collect()} == {("ab", "a"), ("b", "b")}
     assert {tuple(r) for r in relational.contained_items(t, p, "t", "p").collect()} == {("ab", "a"), ("ab", "b"), ("b", "b")}
     assert relational.first_rows(spark.range(9), "id", 3).count() == 3
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    chain = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(140)] + [(500, [900.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {r["id"]: r["label"] for r in cluster.dbscan(chain, 1.0, 3, distance=cluster.euclidean_distance).collect()}
+    assert {got[i] for i in range(140)} == {1} and got[500] == -1
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 201), (300, 300), (None, 5)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200, 300: 300}
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    words = [f"k{i % 37:02d}" for i in range(300)] + [None]
+    df = spark.createDataFrame([(w,) for w in words], "k string")
+    got = {(r["k"], r["cluster_id"]) for r in cluster.by_columns(df, ["k"]).collect()}
+    assert got == {(None, 0), *((f"k{i:02d}", i + 1) for i in range(37))}
+
+
+def test_label_counts_are_those_of_dbscan(vecs):
+    xs = [0.003, 0.02, 0.3, 1.0]
+    assert cluster.label_counts(vecs, xs) == [cluster.dbscan(vecs, x, 2).select("label").distinct().count() for x in xs]
