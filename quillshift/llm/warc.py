@@ -2,8 +2,9 @@
 
 Records are assembled from built-in functions and written by Spark's text sink, whose line
 separator is the record terminator; nothing touches a machine-local folder and a lost task is
-simply written again.  Read back, each file gives a locally sorted run of index entries; runs
-are range-partitioned and merged in each partition by a loser tree over (URL key, timestamp).
+simply written again.  Read back, each file gives a locally sorted run of index entries; runs are
+cut by range, keep their order (an external sort by run and place brings each together), and are
+merged in each range by a loser tree over (URL key, timestamp).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 INDEX_SCHEMA = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "url_key string, captured_at string, file string, offset long, length long"
+    "url_key string, captured_at string, file string, offset long, length long, place long"
 )
 
 
@@ -61,6 +62,7 @@ def write_warc(
     captured: str = "timestamp_seconds(1704067200L + coalesce({id}, 0L))",
     min_revisit_bytes: int = 0,
     records_per_file: int = 4096,
+    bytes_per_file: int = 32 << 20,
     broadcast_rows: int = 500_000,
 ) -> None:
     """Write a record for each row of ``pages``.
@@ -69,10 +71,13 @@ def write_warc(
     smallest id is a response, the others are revisits that refer to it and carry no payload;
     shorter ones are all responses.  Null html is an empty payload, a null url an empty target.
     Of repeated rows (same id and payload) one is the response.  Rows without an id are
-    responses unless their payload has an id elsewhere, which they then revisit.
+    responses unless their payload has an id elsewhere, which they then revisit.  An empty table
+    gives archives without records; other columns are ignored; pages of any length are whole.
 
     Payloads stay in their partition: only digests are shuffled.  The table of revisits is
-    broadcast when it has at most ``broadcast_rows`` rows (16 MB or so) and joined by shuffle beyond.
+    broadcast when it has at most ``broadcast_rows`` rows (some 60 MB) and joined by shuffle beyond.
+    A file holds ``records_per_file`` records at most, fewer where ``bytes_per_file`` of the mean
+    size are less.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("same"))
@@ -86,6 +91,8 @@ def write_warc(
     )
     total, twice = special.agg(F.count(F.lit(1)), F.max("repeats")).first()
     hint = F.broadcast if total <= broadcast_rows else (lambda d: d)
+    mean = each.agg(F.sum(F.col("n") * F.col("repeats")) / F.sum("repeats")).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, int(bytes_per_file / (mean + 1024))))
     match = F.col("page_id").eqNullSafe(F.col("s_id")) & (F.col("same") == F.col("s_same"))
     said = rows.join(hint(special), match, "left")
     if (twice or 1) > 1:
@@ -94,32 +101,40 @@ def write_warc(
         w = Window.partitionBy("page_id", "same").orderBy(F.lit(0))
         own = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1)
         said = (
-            said.filter(F.coalesce(~again, F.lit(True))).withColumn("revisit", F.col("first_id").isNotNull())
-            .unionByName(said.filter(again).withColumn("nth", F.row_number().over(w)).withColumn("revisit", ~own & F.col("first_id").isNotNull()).drop("nth"))
+            said.filter(F.coalesce(~again, F.lit(True))).withColumn("nth", F.lit(1)).withColumn("revisit", F.col("first_id").isNotNull())
+            .unionByName(said.filter(again).withColumn("nth", F.row_number().over(w)).withColumn("revisit", ~own & F.col("first_id").isNotNull()))
         )
     else:
-        said = said.withColumn("revisit", F.col("first_id").isNotNull())
+        said = said.withColumn("nth", F.lit(1)).withColumn("revisit", F.col("first_id").isNotNull())
 
-    def urn(c: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    def urn(page: Column, nth: Column) -> Column:
+        """The record's name: from its page, its payload, and which of repeated rows it is."""
+        digest = F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("null")), "same", nth.cast("string")))
+        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
+
+    def number(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit("null"))
 
     stamp = F.date_format(F.expr(captured.format(id="page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url", "same")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">")),
-        F.concat(F.lit("WARC-Concurrent-To: "), urn(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"), F.col("nth"))),
         F.concat(F.lit("WARC-Date: "), stamp),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]+", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("html"))),
-        F.concat(F.lit("WARC-Payload-Length: "), F.octet_length("html").cast("string")),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first_id")))),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(F.col("revisit"), F.lit("0")).otherwise(F.octet_length("html").cast("string"))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first_id"), F.lit(1)))),
+        # extension fields: the ids of the table
+        F.concat(F.lit("X-Page-ID: "), number(F.col("page_id"))),
+        F.when(F.col("revisit"), F.concat(F.lit("X-Refers-To-Page-ID: "), number(F.col("first_id")))),
+        F.lit("Content-Type: application/http; msgtype=response"),
     ]
-    body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
-    record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), body)
+    http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
+    block = F.concat(http, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
+    length = F.octet_length(http) + F.when(F.col("revisit"), F.lit(0)).otherwise(F.octet_length("html"))
+    head = F.concat_ws(CRLF, *lines, F.concat(F.lit("Content-Length: "), length.cast("string")))
+    record = F.concat(head, F.lit(CRLF * 2), block)
     said.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -136,18 +151,21 @@ def parse_warc(data: bytes, file: str) -> Iterator[dict]:
         if data[end - 4 : end] != b"\r\n\r\n" or not head[0].startswith("WARC/"):
             raise ValueError(f"{file}: no record at {at}")
         kind, said = field["WARC-Type"], field["WARC-Payload-Digest"].removeprefix("sha1:")
+        http_end = body.index(b"\r\n\r\n") + 4
+        http = dict(x.split(": ", 1) for x in body[:http_end].decode("latin-1").split(CRLF) if ": " in x)
+        size = int(http["Content-Length"])
         if kind == "response":
-            digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-            if digest != said or n != int(field["WARC-Payload-Length"]):
+            digest = base64.b32encode(hashlib.sha1(body[http_end:]).digest()).decode()
+            if digest != said or n - http_end != size:
                 raise ValueError(f"{file}: the payload at {at} is damaged")
 
         def row_id(name: str) -> int | None:
-            value = field.get(name, "<urn:page:null>")[10:-1]
+            value = field.get(name, "null")
             return None if value == "null" else int(value)
 
         yield {
-            "page_id": row_id("WARC-Concurrent-To"), "payload_bytes": int(field["WARC-Payload-Length"]), "payload_digest": said, "record_type": kind,
-            "refers_to": row_id("WARC-Refers-To"), "url_key": url_key(field.get("WARC-Target-URI")), "captured_at": field["WARC-Date"],
+            "page_id": row_id("X-Page-ID"), "payload_bytes": size, "payload_digest": said, "record_type": kind,
+            "refers_to": row_id("X-Refers-To-Page-ID"), "url_key": url_key(field.get("WARC-Target-URI")), "captured_at": field["WARC-Date"],
             "file": file, "offset": at, "length": end - at,
         }
         at = end
@@ -163,14 +181,19 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             run = sorted((tuple(x.values()) for x in parse_warc(bytes(content), path.rsplit("/", 1)[-1])), key=_sort_key)
             if run:
-                out = pd.DataFrame(run, columns=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
+                out = pd.DataFrame(run, columns=[x.split()[0] for x in INDEX_SCHEMA.split(", ")][:-1])
+                out["place"] = range(len(out))
                 for c in ("page_id", "refers_to"):
                     out[c] = out[c].astype("Int64")
                 yield out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives under ``path``; each file is one locally sorted run."""
+    """Index entries of all archives under ``path``; each file is one locally sorted run.
+
+    ``place`` is the entry's place in its run.  Archives without records give no entries; a damaged
+    record is an error.
+    """
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_entries, INDEX_SCHEMA)
 
 
@@ -216,25 +239,28 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    runs: dict[str, list[tuple]] = {}
+    """Merge a range's runs, which come one after the other and in their own order."""
+    runs: list[list[tuple]] = []
     names: list[str] = []
+    last = None
     for pdf in batches:
         names = list(pdf.columns)
         cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in names]
         for row in zip(*cols, strict=True):
-            runs.setdefault(row[7], []).append(row)
-    # a run keeps its order through the shuffle, block by block; sorting what is sorted costs a scan
-    ready = [sorted(r, key=_sort_key) for _, r in sorted(runs.items())]
+            if row[7] != last:
+                runs.append([])
+                last = row[7]
+            runs[-1].append(row)
     out: list[tuple] = []
 
     def frame() -> pd.DataFrame:
         pdf = pd.DataFrame(out, columns=names)
-        for c in ("page_id", "refers_to", "payload_bytes", "offset", "length"):
+        for c in ("page_id", "refers_to", "payload_bytes", "offset", "length", "place"):
             pdf[c] = pdf[c].astype("Int64")
         out.clear()
         return pdf
 
-    for row in LoserTree(ready, _sort_key):
+    for row in LoserTree(runs, _sort_key):
         out.append(row)
         if len(out) == 8192:
             yield frame()
@@ -242,19 +268,22 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def merge_index(entries: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
-    """The entries in global order of (URL key, timestamp, page, place): partition by partition.
+def merge_index(entries: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    """The entries in global order of (URL key, timestamp, page, file, offset): partition by partition.
 
     Range bounds include the place of the record, so one URL that holds a third of all captures
-    is split; a task merges about ``rows_per_partition`` entries and no payload.
+    is split; a task merges about ``rows_per_partition`` entries and no payload.  Within a range
+    Spark's external sort lines runs up by file and place; no run is sorted again.  An empty table
+    gives an empty table.
     """
     held = checkpointed(entries)
     n = max(1, -(-held.count() // rows_per_partition), int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     dealt = held.repartitionByRange(n, "url_key", "captured_at", "page_id", "file", "offset")
-    return dealt.mapInPandas(_merge, INDEX_SCHEMA)
+    return dealt.sortWithinPartitions("file", "place").mapInPandas(_merge, INDEX_SCHEMA)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written to archives, read back, and their captures in the order of the merged index."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
     return merge_index(read_warc(spark, path)).select(
