@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshift.llm.common import table
+from quillshift.llm.common import by_bytes, table
 
 #: Pre-tokens of byte-level BPE: contractions, letters, digits, other marks, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,9 +30,9 @@ _FAST = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?
 
 
 class PieceCounter(dict):
-    """Tokens of a pre-token, encoded once; the later half is forgotten when it grows too long."""
+    """Tokens of a pre-token, encoded once; the later half is forgotten past ``max_pieces`` (some 30 MB)."""
 
-    def __init__(self, ranks_path: str, max_pieces: int = 600_000) -> None:
+    def __init__(self, ranks_path: str, max_pieces: int = 150_000) -> None:
         super().__init__()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -59,14 +59,16 @@ class TokenTree:
 
     def __init__(self, text: str, counter: PieceCounter, leaf_pieces: int = 64, leaves: tuple[list[int], list[int]] | None = None) -> None:
         self.text, self.counter, self.leaf_pieces = text, counter, leaf_pieces
-        self.encoded_chars = 0
+        self.encoded_chars = self.rebuilt = 0
         self.chars, self.tokens = (list(leaves[0]), list(leaves[1])) if leaves else self._leaves(pre_tokens(text))
         self._build()
 
-    def _leaves(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+    def _leaves(self, pieces: list[str], into: int = 0) -> tuple[list[int], list[int]]:
+        """Characters and tokens of runs of ``leaf_pieces``, or of ``into`` runs as even as can be."""
         k, count = self.leaf_pieces, self.counter.__getitem__
         self.encoded_chars += sum(map(len, pieces))
-        runs = [pieces[i : i + k] for i in range(0, len(pieces), k)]
+        cuts = [i * len(pieces) // into for i in range(into + 1)] if into else [*range(0, len(pieces), k), len(pieces)]
+        runs = [pieces[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         return [sum(map(len, r)) for r in runs], [sum(map(count, r)) for r in runs]
 
     def _build(self) -> None:
@@ -123,8 +125,12 @@ class TokenTree:
             if at == goal:
                 break
             right, right_at = right + 1, right_at + self.chars[right]
-        chars, tokens = self._leaves(kept)
-        if len(chars) == right - left:
+        leaves, k = right - left, self.leaf_pieces
+        # leaves take up to twice their pieces before they split, and a quarter before they merge
+        roomy = leaves <= len(kept) <= 2 * k * leaves and (leaves == 1 or 4 * len(kept) >= k * leaves)
+        chars, tokens = self._leaves(kept, leaves if roomy else 0)
+        self.rebuilt += not roomy
+        if roomy:
             # as many leaves as before: repair the sums on their paths only
             self.chars[left:right], self.tokens[left:right] = chars, tokens
             touched = range(self.base + left, self.base + right)
@@ -162,8 +168,11 @@ def _edits_of(value: Iterable | None) -> list[tuple[int, int, str]]:
 def build_trees(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", leaf_pieces: int = 64) -> DataFrame:
     """The columns ``keep``, the text, and its tree: leaves, token total, characters encoded.
 
-    A null text counts as empty: no leaves, 0 tokens.  An empty table gives an empty table.
+    A null text counts as empty: no leaves, 0 tokens.  An empty table gives an empty table; repeated
+    rows have a tree each; texts of any length are read whole.  A kept column of the name of a
+    result gives way to it; other columns are left out.
     """
+    keep = tuple(c for c in keep if c not in ("text", *(x.split()[0] for x in TREE.split(", "))))
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +182,7 @@ def build_trees(docs: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_
             yield pdf.assign(leaf_chars=[t.chars for t in trees], leaf_tokens=[t.tokens for t in trees], n_tokens=[t.total for t in trees], encoded_chars=[t.encoded_chars for t in trees])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(build, f"{own}, {TREE}")
+    return by_bytes(rows).mapInPandas(build, f"{own}, {TREE}")
 
 
 def apply_edits(trees: DataFrame, ranks_path: str, edits_col: str = "edits", leaf_pieces: int = 64) -> DataFrame:
@@ -181,7 +190,9 @@ def apply_edits(trees: DataFrame, ranks_path: str, edits_col: str = "edits", lea
 
     Text, leaves and total are those of the edited text; ``encoded_chars`` tells how many
     characters were encoded again.  Offsets count code points and are held within the text;
-    null edits, lengths and replacements do nothing.
+    null edits, lengths and replacements do nothing.  Leaves grow to twice their size before they
+    split, so that most edits repair the sums above the leaves they touch and no others.
+    Repeated rows, empty tables and other columns are as they come.
     """
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +207,7 @@ def apply_edits(trees: DataFrame, ranks_path: str, edits_col: str = "edits", lea
             yield pdf.drop(columns=edits_col).assign(text=[t.text for t in trees], leaf_chars=[t.chars for t in trees], leaf_tokens=[t.tokens for t in trees], n_tokens=[t.total for t in trees], encoded_chars=[t.encoded_chars for t in trees])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema.fields if f.name != edits_col)
-    return trees.mapInPandas(edit, kept)
+    return by_bytes(trees).mapInPandas(edit, kept)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
