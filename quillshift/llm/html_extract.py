@@ -43,8 +43,11 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 WORD = re.compile(r"[^\W\d_]+")
+#: How the small print of a page begins.
+NOTICE = re.compile(r"(?i)(?:©|\(c\)\s|copyright\b)")
 
 
 @dataclass(slots=True)
@@ -171,7 +174,8 @@ def blocks(html: str) -> list[Block]:
             links += tag == "a"
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
-    add(html[at:])
+    # a tag that the page's end cuts off is no text
+    add(OPEN_TAG.sub("", html[at:]))
     flush()
     return out
 
@@ -188,6 +192,8 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             b.label = "bad"
         elif b.link_density > rules.links and not (rooted and b.heading):
             b.label = "bad"
+        elif not rooted and NOTICE.match(b.text):
+            b.label = "bad"
         elif len(b.text) < rules.short:
             b.label = "short"
         elif b.stop_density >= rules.stop_high and len(b.text) >= rules.long:
@@ -195,7 +201,8 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
         elif rooted or b.stop_density >= rules.stop_low:
             b.label = "near"
         else:
-            b.label = "bad"
+            # no prose of a known language, but no links either: its neighbours decide
+            b.label = "short"
     # context: boilerplate containers do not border the text around them
     flow = [b for b in found if not (b.boiler or (rooted and not (b.depth_article if by_article else b.depth_main)))]
     before: list[tuple[str, int]] = []
@@ -222,6 +229,9 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             decided.append("good" if rooted and one != "bad" or b.label == "near" else one or "bad")
             if rooted and not any(x.label == "good" or x.label == "near" for x in flow):
                 decided[-1] = "good"
+    if not rooted and "good" not in decided:
+        # a page of nothing but short lines: what is not a link is its text
+        decided = ["good" if b.label == "short" and not b.link_chars else d for b, d in zip(flow, decided, strict=True)]
     for b, label in zip(flow, decided, strict=True):
         b.label = label
     return found
