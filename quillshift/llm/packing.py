@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshift.llm.common import checkpointed, table
+from quillshift.llm.common import by_bytes, checkpointed, table
 from quillshift.llm.word_cache import encoder
 
 WINDOW = 2048
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
             yield frame
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, PIECES + ", ids array<long>" * with_ids)
+    return by_bytes(rows).mapInPandas(cut, PIECES + ", ids array<long>" * with_ids)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, pieces_per_group: int = 50_000) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshift.llm.common import checkpointed, table
+from quillshift.llm.common import by_bytes, checkpointed, table
 
 #: Common function words, as in running text of four languages.
 COMMON = frozenset(
@@ -75,7 +75,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_features, "doc_id long, x array<double>")
+    return by_bytes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(_features, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     Texts are scored where they are read, in a second pass, so none is shuffled.
     """
     model = fit_labels(features(docs), labels)
-    return docs.filter(scorer(model, True)(F.col("text")) >= threshold)
+    return by_bytes(docs).filter(scorer(model, True)(F.col("text")) >= threshold)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

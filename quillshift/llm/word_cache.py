@@ -32,10 +32,10 @@ _SPELT = {c: "".join(_LETTER[b] for b in chr(c).encode()) for c in range(128, 25
 class WordEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes; maps words to theirs.
 
-    When ``max_words`` are known the later half is forgotten: frequent words come early.
+    When ``max_words`` (some 30 MB) are known the later half is forgotten: frequent words come early.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000) -> None:
+    def __init__(self, path: str, max_words: int = 150_000) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
