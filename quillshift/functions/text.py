@@ -12,9 +12,10 @@ from pyspark.sql.types import DoubleType
 
 
 def _fold_rule() -> tuple[str, str]:
-    """Latin letters from U+00C0 to U+017F whose decomposition starts with an ASCII letter."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x180)]
-    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
+    """Letters and digits of the Latin and full-width blocks whose decomposition starts with an ASCII one."""
+    blocks = [(0xC0, 0x250), (0x1E00, 0x1F00), (0xFF10, 0xFF5B)]
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for lo, hi in blocks for c in range(lo, hi)]
+    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalnum()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -24,11 +25,11 @@ FOLD_WIDE = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "
 
 
 def ascii_fold(c: Column) -> Column:
-    """Latin letters without their marks; other characters stay."""
+    """Latin letters without their marks, full-width ones plain; other characters, and plain texts, stay."""
     out = F.translate(c, FOLD_FROM, FOLD_TO)
     for wide, plain in FOLD_WIDE.items():
         out = F.replace(out, F.lit(wide), F.lit(plain))
-    return out
+    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:
@@ -154,24 +155,28 @@ def num_tokens_feature(c: Column) -> Column:
     return F.size(F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}]+$") | (F.length(w) == 1))).cast("double")
 
 
-def _ratio(c: Column, drop: str) -> Column:
-    return F.try_divide(F.length(F.regexp_replace(c, drop, "")).cast("double"), F.length(c))
+def _count(c: Column, kind: str) -> Column:
+    return F.regexp_count(c, F.lit(kind))
+
+
+def _share(n: Column, c: Column) -> Column:
+    return F.try_divide(n.cast("double"), F.length(c))
 
 
 def ratio_alpha_feature(c: Column) -> Column:
-    return _ratio(c, r"[^\p{L}]")
+    return _share(_count(c, r"\p{L}"), c)
 
 
 def ratio_numeric_feature(c: Column) -> Column:
-    return _ratio(c, r"[^\p{N}]")
+    return _share(_count(c, r"\p{N}"), c)
 
 
 def ratio_alnum_feature(c: Column) -> Column:
-    return _ratio(c, r"[^\p{L}\p{N}]")
+    return _share(_count(c, r"\p{L}") + _count(c, r"\p{N}"), c)
 
 
 def ratio_nonalnum_feature(c: Column) -> Column:
-    return _ratio(c, r"[\p{L}\p{N}]")
+    return _share(F.length(c) - _count(c, r"\p{L}") - _count(c, r"\p{N}"), c)
 
 
 def symbol_set_feature(c: Column) -> Column:
@@ -315,3 +320,31 @@ def pattern_to_regex(c: Column) -> Column:
     for sign, rx in (("A", "[A-Z]+"), ("0", "[0-9]+"), (" ", r"\\s+")):
         quoted = F.regexp_replace(quoted, sign, rx if sign != "A" else "\u0001")
     return F.replace(F.regexp_replace(quoted, "a", "[a-z]+"), F.lit("\u0001"), F.lit("[A-Z]+"))
+
+
+def induced_regexes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, regex): an expression that matches all strings of a group, an alternative for each of its formats."""
+    each = df.select(key, pattern_to_regex(collapse(F.col(text))).alias("_r")).distinct()
+    return each.groupBy(key).agg(F.concat(F.lit("^(?:"), F.array_join(F.array_sort(F.collect_set("_r")), "|"), F.lit(")$")).alias("regex"))
+
+
+def hashed_vector(c: Column, dims: int = 64, n: int = 3) -> Column:
+    """Counts of character n-grams by hash, scaled to length 1: an embedding that needs no model.
+
+    A text of fewer than n characters is one gram; a null or empty one gives zeros.
+    """
+    padded = F.coalesce(c, F.lit(""))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(n))), F.lit(dims)).cast("int"))
+    counts = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(g, lambda x: x == d)).cast("double"))
+    held = F.get(F.transform(F.array(grams), counts), F.lit(0))
+    scaled = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
+    return F.when(padded == "", F.array_repeat(F.lit(0.0), dims)).otherwise(F.get(F.transform(F.array(held), scaled), F.lit(0)))
+
+
+def nested_lines(value, depth: int = 0, step: str = "  ") -> list[str]:
+    """A nested value as indented lines: keys and indices, with what they hold below them."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in ([f"{step * depth}{k}:", *nested_lines(v, depth + 1, step)] if isinstance(v, dict | list | tuple | set) else [f"{step * depth}{k}: {v}"])]
+    if isinstance(value, list | tuple | set):
+        return [x for v in value for x in nested_lines(v, depth + isinstance(v, list | tuple | set), step)]
+    return [f"{step * depth}{value}"]

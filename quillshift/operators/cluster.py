@@ -248,3 +248,37 @@ def cluster(df: DataFrame, strategy: str = "collapse_embedding", id_col: str = "
     if strategy == "collapse_split":
         return both.select(id_col, "cluster_id")
     return merge_sparse(both.select(id_col, vec, "cluster_id"), id_col, "cluster_id", vec, t)
+
+
+def feature_clusters(df: DataFrame, names: Sequence[str], eps: float = 0.1, min_samples: int = 4, id_col: str = "row_id", text: str = "input") -> DataFrame:
+    """(id, label): density clusters of the named text features, each min-max scaled over the table.
+
+    Rows of equal features are one point with a weight, so the pairs are those of distinct points.
+    """
+    held = T.with_features(df.select(id_col, text), text, names)
+    for n in names:
+        held = T.normalized(held, n, f"_s_{n}")
+    vectors = held.select(F.col(id_col).alias("_id"), F.array(*[F.col(f"_s_{n}") for n in names]).alias("v"))
+    points = checkpointed(vectors.groupBy("v").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("w")))
+    found = weighted_dbscan(points, eps, min_samples)
+    return vectors.join(points.join(found, "id").select("v", "label"), "v").select(F.col("_id").alias(id_col), "label")
+
+
+def weighted_dbscan(points: DataFrame, eps: float, min_samples: int, distance: Callable[[Column, Column], Column] = euclidean_distance) -> DataFrame:
+    """As ``dbscan`` over points (id, v, w) that stand for ``w`` equal rows each."""
+    pairs = checkpointed(close_pairs(points, eps, "id", "v", distance))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(points.select(F.col("id").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("others"))
+    core = checkpointed(points.join(near, points["id"] == near["a"], "left").filter(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"))
+    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
+    joined = checkpointed(components(links))
+    label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("root", "id").alias("label"))
+    border = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
+    ids = points.select("id")
+    return ids.join(label, "id", "left").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("label", "near_label", F.lit(-1)).alias("label"))
+
+
+def mixed_clusters(df: DataFrame, alpha: float = 0.5, eps: float = 0.4, min_samples: int = 8, id_col: str = "vec_id", vec: str = "embedding", numbers: str = "numbers") -> DataFrame:
+    """(id, label): density clusters by ``mixed_distance`` of an embedding and an array of numbers."""
+    held = df.select(F.col(id_col).alias("id"), F.struct(F.col(vec).alias("e"), F.col(numbers).alias("f")).alias("v"))
+    return dbscan(held, eps, min_samples, "id", "v", lambda a, b: mixed_distance(alpha, (a["e"], b["e"]), (a["f"], b["f"])))

@@ -103,3 +103,41 @@ def result_matrix(df: DataFrame, row: str, column: str, value: str, columns: lis
 def means_by(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Mean of each value by key, and over all keys' rows where the key is null (rollup)."""
     return df.rollup(key).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def best_columns(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, column, value) of each row's highest value, the first column by name on ties."""
+    top = df.groupBy(row).agg(F.max(value).alias("_top"))
+    best = top.join(df, row).filter(F.col(value) == F.col("_top")).groupBy(row, "_top").agg(F.min(column).alias("_c"))
+    return best.select(row, F.col("_c").alias(column), F.col("_top").alias(value))
+
+
+def best_v_measures(preds: DataFrame, truths: DataFrame, on: str, pred_name: str, pred: str, truth_name: str, truth: str) -> DataFrame:
+    """(pred_name, v_measure): each clustering's best V-measure over all truths.
+
+    ``preds`` and ``truths`` are long tables of (name, row, cluster); all pairs of names are
+    scored from one contingency table.
+    """
+    p = preds.select(F.col(on).alias("_id"), F.col(pred_name).alias("pn"), F.col(pred).alias("p"))
+    t = truths.select(F.col(on).alias("_id"), F.col(truth_name).alias("tn"), F.col(truth).alias("t"))
+    n = p.join(t, "_id").groupBy("pn", "tn", "p", "t").agg(F.count(F.lit(1)).alias("n"))
+    pair = ["pn", "tn"]
+    sides = n.join(n.groupBy(*pair, "p").agg(F.sum("n").alias("n_p")), [*pair, "p"]).join(n.groupBy(*pair, "t").agg(F.sum("n").alias("n_t")), [*pair, "t"])
+    sides = sides.join(n.groupBy(*pair).agg(F.sum("n").alias("all")), pair)
+    # a row of the contingency table holds its share of the marginals' entropies
+    part = lambda m: -(F.col("n") / F.col("all")) * F.ln(m)
+    h = sides.groupBy(*pair).agg(
+        F.sum(part(F.col("n_p") / F.col("all"))).alias("hp"), F.sum(part(F.col("n_t") / F.col("all"))).alias("ht"),
+        F.sum(part(F.col("n") / F.col("n_p"))).alias("t_given_p"), F.sum(part(F.col("n") / F.col("n_t"))).alias("p_given_t"),
+    )
+    hom = F.when(F.col("ht") == 0, 1.0).otherwise(1 - F.try_divide(F.col("t_given_p"), F.col("ht")))
+    com = F.when(F.col("hp") == 0, 1.0).otherwise(1 - F.try_divide(F.col("p_given_t"), F.col("hp")))
+    scored = h.select(*pair, hom.alias("hom"), com.alias("com"))
+    v = F.coalesce(F.try_divide(2 * F.col("hom") * F.col("com"), F.col("hom") + F.col("com")), F.lit(0.0))
+    return scored.groupBy("pn").agg(F.max(v).alias("v_measure")).withColumnRenamed("pn", pred_name)
+
+
+def runtime_matrix(df: DataFrame, dataset: str, column: str, seconds: str, columns: list | None = None) -> DataFrame:
+    """Seconds by dataset and column, failures (null) as -1, with a ``mean`` row over those that ended."""
+    held = result_matrix(df, dataset, column, seconds, columns)
+    return held.select(dataset, *[F.coalesce(F.col(f"`{c}`"), F.lit(-1.0)).alias(c) for c in held.columns if c != dataset])

@@ -462,12 +462,6 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(table(spark, sf_dir, "embeddings"), 0.66, 3, within="label").withColumn("label", F.col("label").cast("long"))
 
 
-@query()
-def merged_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").withColumn("c", F.when(F.col("vec_id") % 97 == 0, F.col("vec_id") + 1000).otherwise(F.col("label").cast("long")))
-    return cluster.merge_sparse(e, "vec_id", "c")
-
-
 # ---- relational shapes and results
 
 @query("""
@@ -539,3 +533,200 @@ def conversation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "role", F.length("text").cast("long").alias("n"), F.row_number().over(w.orderBy(F.desc("turn"))).cast("long").alias("from_end"),
         F.sum(F.length("text")).over(w.orderBy("turn")).alias("running"),
     )
+
+
+# ---- parsers of component texts
+
+
+@query("SELECT o_orderkey, key, value FROM (" + r"""
+SELECT o_orderkey, 0 AS ord, 'level no' AS key, substr(o_orderpriority, 1, 1) AS value FROM orders
+UNION ALL SELECT o_orderkey, 1, 'word', trim(regexp_replace(regexp_replace(substr(o_orderpriority, 3), '[^a-zA-Z0-9]', ' ', 'g'), '\s+', ' ', 'g')) FROM orders)
+""")
+def parsed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key: value`` lines; of equal keys the last value counts."""
+    level, word = F.expr("substr(o_orderpriority, 1, 1)"), F.expr("substr(o_orderpriority, 3)")
+    lines = F.concat(F.lit("Level-No: 9\n\nLevel no: "), level, F.lit("\nWord: "), word)
+    each = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(T.components(lines)).alias("c"))
+    return each.select("o_orderkey", "c.key", "c.value")
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 2 AS n FROM customer")
+def braced_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``{key: value, ..}`` texts, and the map with most keys of several."""
+    text = F.concat(F.lit("{ name: "), F.col("c_name"), F.lit(" , segment :"), F.col("c_mktsegment"), F.lit(" }"))
+    both = F.array(F.create_map(F.lit("x"), F.lit("y")), T.braced_components(text))
+    m = T.longest_map(both)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.element_at(m, "name").alias("name"), F.element_at(m, "segment").alias("segment"), F.size(m).alias("n"))
+
+
+@query("SELECT o_orderkey, ['Level', 'Word'] AS types, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN 'a' WHEN o_orderkey % 4 = 2 THEN 'a and b' ELSE 'a, b, and c' END AS spoken FROM orders")
+def responses_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of a response, and a list put in words."""
+    reply = F.concat(F.lit("Level: "), F.expr("substr(o_orderpriority, 1, 1)"), F.lit("\nWord: x\n[item]\nLevel: 2\nnothing"))
+    some = F.slice(F.array(*map(F.lit, "abc")), F.lit(1), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.response_types(reply).alias("types"), T.spoken_list(some).alias("spoken"))
+
+
+@query("SELECT conv_id, turn, list_transform(regexp_extract_all(c, '\\[([^\\]]+)\\]', 1), lambda x: x) AS labels, len(regexp_extract_all(c, '\\[([^\\]]+)\\]', 1)) AS n FROM (SELECT conv_id, turn, '[' || role || '] says [' || turn || ']' AS c FROM conversations)")
+def bracketed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.bracket_labels(F.concat(F.lit("["), F.col("role"), F.lit("] says ["), F.col("turn").cast("string"), F.lit("]"))).alias("labels"))
+    return c.withColumn("n", F.size("labels").cast("long"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN '"' || c_name || '"' ELSE c_name END AS value FROM customer
+""")
+def unwrapped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes go only where the text holds the value without them."""
+    name = F.col("c_name")
+    value = F.when(F.col("c_custkey") % 3 == 2, name).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    origin = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('see "'), name, F.lit('".'))).otherwise(F.concat(F.lit("see "), name))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.unwrap(value, origin).alias("value"))
+
+
+_FREE = _squeeze_sql("regexp_replace(trim(regexp_replace(trim(lower(regexp_replace({c}, '[^a-zA-Z0-9]', ' ', 'g'))), '[0-9]+$', '')), '[(\\s]s[)\\s]$', '')")
+
+
+@query(f"SELECT p_partkey, {_FREE.format(c='p_brand')} AS brand, {_FREE.format(c='CAST(p_partkey AS VARCHAR)')} AS number FROM part")
+def number_free_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", T.number_free_key(F.col("p_brand")).alias("brand"), T.number_free_key(F.col("p_partkey").cast("string")).alias("number"))
+
+
+@query(r"""
+SELECT page_id, length(url)::DOUBLE AS "LengthFeature", length(regexp_replace(url, '[^\p{L}]', '', 'g'))::DOUBLE / length(url) AS "RatioAlphaFeature",
+       (length(url) - min(length(url)) OVER ())::DOUBLE / nullif(max(length(url)) OVER () - min(length(url)) OVER (), 0) AS scaled FROM pages
+""")
+def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by name, one of them scaled over the whole table."""
+    names = ["LengthFeature", "RatioAlphaFeature"]
+    made = T.with_features(table(spark, sf_dir, "pages").select("page_id", "url"), "url", names)
+    return T.normalized(made, "LengthFeature", "scaled").select("page_id", *names, "scaled")
+
+
+@query("SELECT lang, count(*) AS n, count(*) AS matched FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def regexes_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's source names against the expression induced from them: all match."""
+    d = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("t")).filter("t is not null")
+    both = d.join(T.induced_regexes(d, "lang", "t"), "lang")
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.regexp(F.col("t"), F.col("regex"))).alias("matched"))
+
+
+@query("SELECT page_id, true AS forward, strpos(url, '://') > 0 AND split_part(url, '/', 3) = '' AS backward FROM pages")
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether parts follow each other in the text, in order and in reverse."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    ways = {"forward": F.array(F.lit("://"), host), "backward": F.array(host, F.lit("://"))}
+    return table(spark, sf_dir, "pages").select("page_id", *[propagate.assembles_column(F.col("url"), p).alias(n) for n, p in ways.items()])
+
+
+# ---- clusters and their quality, again
+
+
+@query(f"SELECT conv_id, turn, dense_rank() OVER (ORDER BY {_collapse_sql('text')}, role) - 1 AS cluster_id FROM (SELECT conv_id, turn, role, substr(text, 1, 12) AS text FROM conversations)")
+def composition_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format and label composition together, as the default strategy for labelled rows has it."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 12).alias("text"))
+    rows = c.withColumn("row", F.struct("conv_id", "turn"))
+    return cluster.cluster(rows, "composition", "row", "text", labels="role").select("row.conv_id", "row.turn", "cluster_id")
+
+
+@query("""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 97 = 0 THEN vec_id + 1000 ELSE label END AS c, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT c, count(*) AS n FROM e GROUP BY 1), d AS (SELECT e.* FROM e JOIN n USING (c) WHERE n >= 3), s AS (SELECT e.* FROM e JOIN n USING (c) WHERE n < 3),
+x AS (SELECT c, unnest(e) AS u, generate_subscripts(e, 1) AS pos FROM d), m AS (SELECT c, pos, avg(u) AS value FROM x GROUP BY ALL), k AS (SELECT c, list(value ORDER BY pos) AS centre FROM m GROUP BY 1),
+b AS (SELECT s.vec_id, k.c, 1 - list_cosine_similarity(s.e, k.centre) AS far FROM s, k)
+SELECT vec_id, c FROM d UNION ALL SELECT vec_id, c FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, c) = 1
+""")
+def merged_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of sparse clusters go to the nearest dense centroid."""
+    e = table(spark, sf_dir, "embeddings").withColumn("c", F.when(F.col("vec_id") % 97 == 0, F.col("vec_id") + 1000).otherwise(F.col("label").cast("long")))
+    return cluster.merge_sparse(e, "vec_id", "c").select("vec_id", F.col("c").cast("long").alias("c"))
+
+
+@query(_PAIRWISE + """
+m AS (SELECT pred, max(common) AS top FROM j GROUP BY 1),
+o AS (SELECT pred, max(coalesce(common / nullif(np * (np - 1) / 2, 0), 0))::DOUBLE AS p, max(coalesce(common / nullif(nt * (nt - 1) / 2, 0), 0))::DOUBLE AS r FROM j JOIN m USING (pred) WHERE common = top GROUP BY pred)
+SELECT round(avg(p), 9) AS p, round(avg(r), 9) AS r, round(2 * avg(p) * avg(r) / (avg(p) + avg(r)), 9) AS f1 FROM o
+""")
+def pairwise_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over predicted clusters, and F1 of the means."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 9).alias("pred"), F.col("label").alias("truth"))
+    return metrics.pairwise_mean(e, "pred", "truth").select(*[F.round(c, 9).alias(c) for c in ("p", "r", "f1")])
+
+
+@query("""
+WITH c AS (SELECT user_id % 4 AS user_group, event_type, avg(value) AS value FROM events GROUP BY ALL)
+SELECT user_group, event_type, round(value, 6) AS value FROM c QUALIFY row_number() OVER (PARTITION BY user_group ORDER BY value DESC, event_type) = 1
+""")
+def best_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of each row's highest mean."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("user_group"), "event_type").agg(F.avg("value").alias("value"))
+    return metrics.best_columns(e, "user_group", "event_type", "value").withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH p AS (SELECT vec_id, 'm9' AS pn, vec_id % 9 AS p FROM embeddings UNION ALL SELECT vec_id, 'label', label FROM embeddings UNION ALL SELECT vec_id, 'one', 0 FROM embeddings),
+t AS (SELECT vec_id, 'label' AS tn, label AS t FROM embeddings UNION ALL SELECT vec_id, 'm3', vec_id % 3 FROM embeddings),
+n AS (SELECT pn, tn, p, t, count(*)::DOUBLE AS n FROM p JOIN t USING (vec_id) GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY pn, tn, p) AS np, sum(n) OVER (PARTITION BY pn, tn, t) AS nt, sum(n) OVER (PARTITION BY pn, tn) AS a FROM n),
+h AS (SELECT pn, tn, sum(-n / a * ln(np / a)) AS hp, sum(-n / a * ln(nt / a)) AS ht, sum(-n / a * ln(n / np)) AS tp, sum(-n / a * ln(n / nt)) AS pt FROM s GROUP BY ALL),
+v AS (SELECT pn, CASE WHEN ht = 0 THEN 1 ELSE 1 - tp / ht END AS hom, CASE WHEN hp = 0 THEN 1 ELSE 1 - pt / hp END AS com FROM h)
+SELECT pn AS name, round(max(coalesce(2 * hom * com / nullif(hom + com, 0), 0)), 8) AS v_measure FROM v GROUP BY 1
+""")
+def best_v_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each clustering's best V-measure over several truths."""
+    e = table(spark, sf_dir, "embeddings")
+    one = lambda name, c: e.select("vec_id", F.lit(name).alias("name"), c.cast("long").alias("c"))
+    preds = one("m9", F.col("vec_id") % 9).unionByName(one("label", F.col("label"))).unionByName(one("one", F.lit(0)))
+    truths = one("label", F.col("label")).unionByName(one("m3", F.col("vec_id") % 3))
+    made = metrics.best_v_measures(preds, truths, "vec_id", "name", "c", "name", "c")
+    return made.select("name", F.round("v_measure", 8).alias("v_measure"))
+
+
+@query("""
+SELECT round(count(*) FILTER (p_partkey % 5 <> 0)::DOUBLE / count(*), 9) AS accuracy, count(*) FILTER (p_partkey % 5 <> 0) AS correct, count(*) AS total FROM part
+""")
+def truncated_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for four of five rows, counted over all of them."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("output"))
+    pred = p.filter("row_id % 5 <> 0").select("row_id", F.concat(F.lit(" "), F.col("output")).alias("prediction"))
+    return metrics.truncated_accuracy(pred, p).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""
+SELECT CAST(user_id % 4 AS VARCHAR) AS user_group, coalesce(round(avg(value) FILTER (event_type = 'click'), 6), -1) AS click, -1.0::DOUBLE AS never FROM events GROUP BY 1
+UNION ALL SELECT 'mean', round(avg(v), 6), -1.0 FROM (SELECT avg(value) FILTER (event_type = 'click') AS v FROM events GROUP BY user_id % 4)
+""")
+def runtime_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix in which what failed is -1."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("string").alias("user_group"), "event_type", "value")
+    made = metrics.runtime_matrix(e, "user_group", "event_type", "value", ["click", "never"])
+    return made.select("user_group", F.round("click", 6).alias("click"), "never")
+
+
+@query("""
+WITH RECURSIVE u AS (SELECT length(url)::DOUBLE AS n, count(*) AS w, min(page_id) AS id FROM pages GROUP BY 1), b AS (SELECT min(n) AS lo, max(n) AS hi FROM u),
+v AS (SELECT id, w, CASE WHEN hi = lo THEN 0 ELSE (n - lo) / (hi - lo) END AS x, n FROM u, b),
+p AS (SELECT a.id AS a, b.id AS b, b.w FROM v a JOIN v b ON a.id <> b.id AND abs(a.x - b.x) <= 0.02),
+core AS (SELECT id FROM v LEFT JOIN (SELECT a, sum(w) AS o FROM p GROUP BY 1) q ON q.a = v.id WHERE w + coalesce(o, 0) >= 4),
+l AS (SELECT p.a, p.b FROM p JOIN core c ON c.id = p.a JOIN core d ON d.id = p.b),
+r(id, low) AS (SELECT id, id FROM core UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id),
+lab AS (SELECT id, min(low) AS label FROM r GROUP BY 1), border AS (SELECT p.a AS id, min(label) AS label FROM p JOIN lab ON lab.id = p.b GROUP BY 1)
+SELECT page_id, coalesce(lab.label, border.label, -1) AS label FROM pages JOIN v ON length(url) = v.n LEFT JOIN lab ON lab.id = v.id LEFT JOIN border ON border.id = v.id
+""")
+def feature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of a scaled text feature."""
+    made = cluster.feature_clusters(table(spark, sf_dir, "pages"), ["LengthFeature"], 0.02, 4, "page_id", "url")
+    return made.withColumn("label", F.col("label").cast("long"))
+
+
+@query(_VEC + """, d AS (SELECT vec_id, label, e, [vec_id % 7 / 7.0::DOUBLE] AS f FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM d a JOIN d b ON a.vec_id < b.vec_id WHERE 0.5 * (1 - list_cosine_similarity(a.e, b.e)) + 0.5 * list_distance(a.f, b.f) <= 0.3)
+SELECT a, b FROM p
+""")
+def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that are close by an embedding and a number together."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("embedding").alias("e"), F.array((F.col("vec_id") % 7) / F.lit(7.0)).alias("f")).alias("v"))
+    far = lambda a, b: cluster.mixed_distance(0.5, (a["e"], b["e"]), (a["f"], b["f"]))
+    return cluster.close_pairs(e, 0.3, "vec_id", "v", far)
