@@ -3,7 +3,6 @@
 import hashlib
 import itertools
 import random
-import re
 import zlib
 
 import numpy as np
@@ -314,7 +313,7 @@ def test_jaccard_of_odd_rows(odd):
 def test_intersections_and_sketches():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 200))).astype(np.uint64) for _ in range(9)]
-    got = intersections(sets, slab=16)
+    got = intersections(sets, rare=3, cells=128)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
     a = shingles(" ".join(WORDS[:200]))
     b = shingles(" ".join(WORDS[:190] + ["other"] * 3))
@@ -324,13 +323,11 @@ def test_intersections_and_sketches():
 
 # ---- lines
 
-_SHINGLE = re.compile(r"(?s)(?=(\S.{0,7}))(?:[^\W_]{1,16}[!-/:-@\[-`{-~]*|\S)")
-
 
 def brute_lines(rows, threshold=0.8):
+    """Which lines stay, from the definition: sets of every 8 characters in a row."""
     places = [(d, i, x.strip(" \t\r\x0b\x0c").lower()) for d, t in rows for i, x in enumerate((t or "").split("\n"))]
-    places = [p for p in places if p[2]]
-    sets = {x: set(_SHINGLE.findall(x)) for _, _, x in places}
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in places if x}
     parent = {x: x for x in sets}
 
     def root(x):
@@ -343,8 +340,9 @@ def brute_lines(rows, threshold=0.8):
             parent[root(y)] = root(x)
     heads = {}
     for d, i, x in places:
-        heads[root(x)] = min(heads.get(root(x), (d, i)), (d, i))
-    return {(d, i): heads[root(x)] == (d, i) for d, i, x in places}
+        if x:
+            heads[root(x)] = min(heads.get(root(x), (d, i)), (d, i))
+    return {(d, i): heads[root(x)] == (d, i) for d, i, x in places if x}
 
 
 def test_lines_equal_brute_force(spark):
@@ -383,21 +381,6 @@ def test_lines_of_odd_rows(odd):
     assert out.filter("doc_id = 4").first()["text"] == "" and drop_repeated_lines(odd.limit(0)).count() == 0
 
 
-def all_shingle_lines(rows, threshold=0.8):
-    """As ``brute_lines``, on the set of all character shingles."""
-    places = [(d, i, x.strip(" \t\r\x0b\x0c").lower()) for d, t in rows for i, x in enumerate(t.split("\n"))]
-    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in places if x}
-    head = {x: x for x in sets}
-    for x, y in itertools.combinations(sets, 2):
-        if len(sets[x] & sets[y]) >= threshold * len(sets[x] | sets[y]) - 1e-9:
-            head = {k: head[x] if v == head[y] else v for k, v in head.items()}
-    first = {}
-    for d, i, x in places:
-        if x:
-            first[head[x]] = min(first.get(head[x], (d, i)), (d, i))
-    return {(d, i): first[head[x]] == (d, i) for d, i, x in places if x}
-
-
 def test_lines_count_all_shingles(spark):
     rng = random.Random(5)
     han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
@@ -408,7 +391,7 @@ def test_lines_count_all_shingles(spark):
         "x" * 40, "x" * 41, "one line; with marks!!! and more of them...", "one line; with marks??? and more of them...",
     ]
     rows = list(enumerate(texts))
-    want = all_shingle_lines(rows)
+    want = brute_lines(rows)
     assert {(r["doc_id"], r["line_no"]): r["kept"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()} == want
     assert want[0, 0] and want[1, 0] and want[3, 0] and not want[11, 0]
 
