@@ -730,3 +730,37 @@ def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("embedding").alias("e"), F.array((F.col("vec_id") % 7) / F.lit(7.0)).alias("f")).alias("v"))
     far = lambda a, b: cluster.mixed_distance(0.5, (a["e"], b["e"]), (a["f"], b["f"]))
     return cluster.close_pairs(e, 0.3, "vec_id", "v", far)
+
+
+# ---- fits on given clusters, given programs, and components split twice
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, 'x' AS note FROM pages")
+def given_clusters_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One given cluster instead of surface formats: programs must serve all of its rows."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("row_id"), F.col("url").alias("input"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("output"), F.lit(0).alias("cluster_id"))
+    model = fit(rows, PatternProvider(URL_PARTS), PatternProvider([r"(?P<host>.+)"]), by="cluster_id")
+    made = model.transform(rows)
+    return made.select(F.col("row_id").alias("page_id"), F.col("transformation").alias("host"), F.lit("x").alias("note"))
+
+
+@query("SELECT c_custkey, substr(c_name, 10) || '/' || substr(c_name, 1, 8) AS code FROM customer")
+def given_programs_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of given rows instead of induced ones."""
+    code = F.concat(F.expr("substr(c_name, 10)"), F.lit("/"), F.expr("substr(c_name, 1, 8)"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), F.col("c_name").alias("input"), code.alias("output"))
+    first = rows.agg(F.min("row_id")).first()[0]
+    given = {first: {"kind": [(Abs(0), Edge("#", 0, "L"))], "number": [(Edge("#", 0, "R"), Abs(None))]}}
+    parts = PatternProvider([r"(?P<kind>[A-Za-z]+)#(?P<number>\d+)"])
+    model = fit(rows, parts, PatternProvider([r"(?P<number>\d+)/(?P<kind>[A-Za-z]+)"]), operators=given)
+    return model.transform(rows).select(F.col("row_id").alias("c_custkey"), F.col("transformation").alias("code"))
+
+
+@query("SELECT o_orderkey, substr(o_orderpriority, 3) || ' (' || substr(o_orderpriority, 1, 1) || ')' AS priority FROM orders")
+def resolved_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous rows resolved by assembly; examples keep their own split; outputs ordered as most of them are."""
+    known = F.concat(F.expr("substr(o_orderpriority, 3)"), F.lit(" ("), F.expr("substr(o_orderpriority, 1, 1)"), F.lit(")"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("row_id"), F.col("o_orderpriority").alias("input"), known.alias("output"))
+    parts = PatternProvider([r"(?P<level>\d)-(?P<word>.+)"]), PatternProvider([r"(?P<word>.+) \((?P<level>\d)\)"])
+    made = fit(rows, *parts, 8, order_by="most").transform_resolved(rows)
+    return made.select(F.col("row_id").alias("o_orderkey"), F.col("transformation").alias("priority"))

@@ -80,6 +80,22 @@ def test_cli(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "transformations")).count() == 7
 
 
+def test_cli_with_given_clusters_and_programs(spark, tmp_path):
+    pairs = [("ab-1", "1 ab"), ("cd-2", "2 cd"), ("ef-3", "3 ef"), ("gh-44", "44 gh"), ("ij-5", "5 ij"), ("kl-6", "6 kl"), ("mn-77", "77 mn")]
+    data = write(tmp_path / "d" / "Flip.csv", "".join(f"{a},{b}\n" for a, b in pairs))
+    write(tmp_path / "c" / "Flip_cluster.txt", "0,1,2,3,4,5,6\n")
+    split = lambda a: dict(zip(("word", "number"), a.split("-"), strict=True))
+    items = [f"word:{split(a)['word']}\nnumber:{split(a)['number']}" for a, _ in pairs]
+    items += [f"number:{split(a)['number']}\nword:{split(a)['word']}" for a, _ in pairs]
+    write(tmp_path / "s" / "Flip_split.txt", "\n[ITEM]\n".join(items) + "\n")
+    write(tmp_path / "o" / "Flip_op.txt", "0\nword:AbsPos(0)[PARAMSPLIT]RegPos(-,0,L)\nnumber:RegPos(-,0,R)[PARAMSPLIT]AbsPos(-1)\n")
+    common = [data, "-k", "3", "-s", str(tmp_path / "s"), "--clusters", str(tmp_path / "c"), "-o", str(tmp_path / "out")]
+    for more in ([], ["--operators", str(tmp_path / "o")], ["--order", "most", "--further"]):
+        assert cli.main([*common, *more], lambda: spark)[0][1:] == (1.0, "ok"), more
+    seconds = spark.read.option("header", True).csv(str(tmp_path / "out" / "seconds")).collect()
+    assert {r["file"] for r in seconds} == {"Flip", "mean"} and all(float(r["k3"]) > 0 for r in seconds)
+
+
 def test_the_rest_works_without_the_llm_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "quillshift.llm", None)
     monkeypatch.setitem(sys.modules, "quillshift.llm.queries", None)
