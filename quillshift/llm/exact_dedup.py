@@ -73,6 +73,7 @@ def exact_dedup(
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of equal texts of all ``documents`` and which row of each stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -260,4 +260,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
     return extract_pages(table(spark, sf_dir, "pages"))

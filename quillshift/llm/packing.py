@@ -135,6 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 2048 tokens."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

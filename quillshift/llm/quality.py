@@ -172,7 +172,8 @@ def score_quality(
     texts count as empty and are scored like any other; rows with a null id are scored and
     are not held out.  Labels that are null or neither 0 nor 1 are ignored; a document
     labelled twice counts once for each label; repeated rows give repeated results.  Without
-    any label every score is 0.5.  An empty table gives an empty table.
+    any label every score is 0.5.  An empty table gives an empty table.  Texts of any length are
+    read whole; other columns, lang and source among them, are never read.
     """
     rows = checkpointed(features(docs, id_col, text_col))
     model = fit_labels(rows, labels, id_col, label_col)
@@ -183,11 +184,13 @@ def score_quality(
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (all its columns) that score ``threshold`` or more.
 
-    Texts are scored where they are read, in a second pass, so none is shuffled.
+    Texts are scored where they are read, in a second pass, so none is shuffled.  Null and empty
+    texts, null ids, repeated rows and empty tables are as in ``score_quality``.
     """
     model = fit_labels(features(docs), labels)
     return by_bytes(docs).filter(scorer(model, True)(F.col("text")) >= threshold)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``, learnt from the labels of those that are not held out."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

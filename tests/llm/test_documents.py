@@ -173,6 +173,30 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == df.columns and kept.count() == sum(r["predicted"] for r in got)
 
 
+def test_scores_are_those_of_the_densities(spark):
+    """The discriminant against its definition: log-densities with explicit inverses and determinants."""
+    df, labels = labelled(spark, 300)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    x = {i: np.array(statistics(t)) for i, t in texts.items()}
+    seen = [i for i in sorted(known) if zlib.crc32(str(i).encode()) % 5]
+    rows, y = np.array([x[i] for i in seen]), np.array([known[i] for i in seen])
+    centre, scale = rows.mean(axis=0), np.maximum(rows.std(axis=0), 1e-6)
+    z = lambda v: np.clip((v - centre) / scale, -12, 12)
+    d, groups = len(FEATURES), [z(rows[y == c]) for c in (0, 1)]
+    pooled = sum(len(g) / len(rows) * np.cov(g.T, bias=True) for g in groups) + 1e-3 * np.eye(d)
+    log = {}
+    for c, g in enumerate(groups):
+        s = 0.8 * np.cov(g.T, bias=True) + 0.2 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-3 * np.eye(d)
+        inverse, (_, size) = np.linalg.inv(s), np.linalg.slogdet(s)
+        prior = np.log((len(g) + 1) / (len(rows) + 2))
+        log[c] = {i: prior - 0.5 * size - 0.5 * (z(v) - g.mean(axis=0)) @ inverse @ (z(v) - g.mean(axis=0)) for i, v in x.items()}
+    for r in score_quality(df, labels).collect():
+        i = r["doc_id"]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(np.clip(0.5 * (log[0][i] - log[1][i]), -700, 700))), abs=1e-6)
+
+
 def test_quality_of_odd_rows(spark, odd):
     _, labels = labelled(spark, 50)
     assert score_quality(odd, labels).filter("score between 0 and 1").count() == 11
@@ -244,6 +268,20 @@ def test_edited_trees_count_as_the_tokenizer_does():
             assert tree.total == len(known.coding.encode_ordinary(tree.text)) and sum(tree.chars) == len(tree.text)
 
 
+def test_edits_repair_paths():
+    known = counter(RANKS_FILE)
+    rng = random.Random(15)
+    rebuilt = edits = 0
+    for _ in range(40):
+        tree = TokenTree(" ".join(rng.choices(WORDS, k=rng.randint(300, 3000))), known)
+        for _ in range(10):
+            tree.edit(rng.randrange(len(tree.text)), rng.choice([0, 5, 12]), rng.choice(["", "rewritten", "a title of five words\n"]))
+            edits += 1
+        assert tree.total == len(known.coding.encode_ordinary(tree.text)) and tree.sum_tokens[1] == sum(tree.tokens)
+        rebuilt += tree.rebuilt
+    assert rebuilt <= 0.01 * edits
+
+
 def test_edits_touch_little(spark, odd):
     trees = build_trees(odd, RANKS_FILE)
     assert trees.filter("n_tokens = 0").count() == 3
@@ -300,6 +338,23 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_large_components_are_dealt_into_parts(spark):
+    rows = [*near_rows(random.Random(16), groups=3), *[(2000 + i, " ".join([*WORDS[:60], f"x{i}"])) for i in range(40)]]
+    df = docs(spark, [(i, t, "s") for i, t in rows])
+    want = brute_classes(rows)
+    assert sorted(tuple(r) for r in jaccard_classes(df, bucket=8, block=8, depth=2).collect()) == want
+    assert sorted(tuple(r) for r in jaccard_classes(df, bucket=2, block_bytes=4096).collect()) == want
+
+
+def test_no_link_is_lost_on_the_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_classes([(r["doc_id"], r["text"]) for r in df.collect()])
+    got = sorted(tuple(r) for r in jaccard_classes(df).collect())
+    recall = sum(min(a[2], b[2]) for a, b in zip(got, want, strict=True)) / max(1, sum(b[2] for b in want))
+    print(f"recall of links: {recall:.4f}")
+    assert got == want
+
+
 def test_jaccard_of_odd_rows(odd):
     got = jaccard_classes(odd).collect()
     assert len(got) == 11 and jaccard_classes(odd.limit(0)).count() == 0

@@ -77,6 +77,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert keys == sorted(keys)
 
 
+def test_revisits_name_a_record_that_is_there(spark, tmp_path):
+    rows = [(1, "u", "same", "f"), (2, "v", "same", "f"), (2, "v", "same", "f"), (3, "w", "same", "f"), (3, "w", "other\r\n\r\nWARC/1.1", "f"), (None, None, "same", "f")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, file string")
+    warc.write_warc(df, str(tmp_path / "w"))
+    heads = [dict(x.split(": ", 1) for x in r.split("\r\n") if ": " in x) for f in (tmp_path / "w").glob("*.txt") for r in f.read_bytes().decode().split("WARC/1.1\r\n")[1:]]
+    named = {h["WARC-Record-ID"]: h["WARC-Type"] for h in heads if "WARC-Record-ID" in h}
+    assert len(named) == len(rows)
+    refers = [h["WARC-Refers-To"] for h in heads if h.get("WARC-Type") == "revisit"]
+    assert len(refers) == 4 and {named[x] for x in refers} == {"response"}
+    assert all(h["Content-Type"].startswith(("application/http", "text/html")) for h in heads if "Content-Type" in h)
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     got = read_back(spark, tmp_path, [(1, "u", "ab", "f"), (2, "u", "ab", "f")], min_revisit_bytes=3)
     assert {r["record_type"] for r in got} == {"response"}
