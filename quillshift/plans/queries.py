@@ -143,7 +143,21 @@ def char_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_BOTH = "list_concat(a, x)"
+_SIZES = f"list_transform({_BOTH}, lambda v: abs(v))"
+_OFFSETS = r"""
+SELECT page_id, CASE WHEN len(h) < 2 THEN 0.0 ELSE list_aggregate(h, 'stddev_samp') END AS dispersion FROM (
+  SELECT page_id, list_reduce(list_prepend([]::DOUBLE[], list_transform(list_filter(range(0, length(url)), lambda i: NOT regexp_matches(substr(url, i + 1, 1), '[\p{L}\p{N}]')), lambda i:
+    [CASE WHEN i = 0 THEN length(regexp_extract(substr(url, i + 2), '^[^\p{L}\p{N}]*')) + 1
+          WHEN i = length(url) - 1 THEN -(length(regexp_extract(substr(url, 1, i), '[^\p{L}\p{N}]*$')) + 1)
+          ELSE length(regexp_extract(substr(url, i + 2), '^[^\p{L}\p{N}]*')) - length(regexp_extract(substr(url, 1, i), '[^\p{L}\p{N}]*$')) END::DOUBLE])),
+    lambda a, x: CASE WHEN len({both}) < 2 OR list_max({sizes}) = list_min({sizes}) THEN [0.0::DOUBLE]
+      ELSE list_transform({both}, lambda v: (abs(v) - list_min({sizes})) * CASE WHEN v > 0 THEN 1 ELSE -1 END / (list_max({sizes}) - list_min({sizes}))) END) AS h
+  FROM pages)
+""".replace("{both}", _BOTH).replace("{sizes}", _SIZES)
+
+
+@query(_OFFSETS)
 def symbol_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.symbol_offset_feature(F.col("url")).alias("dispersion"))
 
