@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +110,57 @@ def relax_until_dense(df: DataFrame, pattern: str = "collapsed", t: Thresholds =
 # ---- embeddings
 
 
+def _cosine_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+
+
+def _euclidean_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    # differences, not products: equal distances stay equal to the last bit
+    return np.sqrt(sum((x[:, d, None] - y[None, :, d]) ** 2 for d in range(x.shape[1])))
+
+
+def pair_distances(df: DataFrame, eps: float, id_col: str, vec: str, block_of: Callable[[np.ndarray, np.ndarray], np.ndarray], within: str | None = None, block: int = 1024) -> DataFrame:
+    """(a, b, d) with a < b of all pairs at a distance of at most ``eps``.
+
+    Rows, or those of each value of ``within``, are dealt into parts of about ``block`` rows; a pair of
+    parts is one task's matrix, of which only close pairs are put out.  Null vectors and nulls
+    in ``within`` are in no pair.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("w")).filter("id is not null and v is not null")
+    sized = rows.join(rows.groupBy("w").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("parts")), "w")
+    held = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = held.select("w", "id", "v", "own", F.explode(meets).alias("m")).select("w", "m.i", "m.j", "id", "v", "own")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, own, ids = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["own"].to_numpy(), pdf["id"].to_numpy()
+        v = np.zeros((len(pdf), max(map(len, pdf["v"]))))
+        for n, x in enumerate(pdf["v"]):
+            v[n, : len(x)] = x
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        d = block_of(v[left], v[right])
+        r, c = np.nonzero(d <= eps)
+        a, b = ids[left[r]], ids[right[c]]
+        # within one part each pair shows twice, across parts once
+        keep = a < b if i == j else a != b
+        swap = a > b
+        low, high = np.where(swap, b, a), np.where(swap, a, b)
+        return pd.DataFrame({"a": low[keep], "b": high[keep], "d": d[r, c][keep]})
+
+    return dealt.groupBy("w", "i", "j").applyInPandas(near, f"a {kind}, b {kind}, d double")
+
+
 def close_pairs(df: DataFrame, eps: float, id_col: str, vec: str, distance: Callable[[Column, Column], Column] = cosine_distance, within: str | None = None) -> DataFrame:
     """(a, b) with a < b and distance at most ``eps``; with ``within``, only inside equal values of it.
 
-    All pairs of the rows given: meant for the members of one format cluster or a sample.
+    All pairs of the rows given: meant for the members of one format cluster or a sample.  The
+    two plain distances are taken by blocks of a matrix, any other by a join.
     """
+    block_of = {cosine_distance: _cosine_block, euclidean_distance: _euclidean_block}.get(distance)
+    if block_of is not None:
+        return pair_distances(df, eps, id_col, vec, block_of, within).select("a", "b")
     left = df.select(F.col(id_col).alias("a"), F.col(vec).alias("va"), *([F.col(within).alias("w")] if within else []))
     right = df.select(F.col(id_col).alias("b"), F.col(vec).alias("vb"), *([F.col(within).alias("w2")] if within else []))
     on = F.col("a") < F.col("b")
@@ -157,9 +205,7 @@ def label_counts(df: DataFrame, xs: Sequence[float], id_col: str = "vec_id", vec
     With two rows a cluster is a component of the graph of close pairs.  Distances are taken
     once, and each eps joins only components that are still apart.
     """
-    left, right = (df.select(F.col(id_col).alias(n), F.col(vec).alias(f"v{n}")) for n in "ab")
-    far = cosine_distance(F.col("va"), F.col("vb")).alias("d")
-    pairs = checkpointed(left.join(right, F.col("a") < F.col("b")).select("a", "b", far).filter(F.col("d") <= max(xs)))
+    pairs = checkpointed(pair_distances(df, max(xs), id_col, vec, _cosine_block))
     total = df.count()
     roots = checkpointed(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0))
     counts, low = [], -1.0
