@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -44,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more.
+
+    It follows the driver's garbage collection, which may not come for a whole run of small rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,6 +90,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select("e.u", "e.v").filter("u <> v").distinct()
         )
         cur = checkpointed(small)
+        release(cur.sparkSession)
         # a fixed point: the same edges, and every node hangs on a root directly
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillshift.llm.common import by_bytes, checkpointed, connected_components, table
+from quillshift.llm.common import by_bytes, checkpointed, connected_components, release, table
 
 COORDINATES = 64
 _ODD = np.random.default_rng(20_240_501).integers(1 << 62, size=(2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -298,6 +298,7 @@ def jaccard_classes(
         return {"a": ends, "b": heads} if ends else None
 
     members = checkpointed(members)
+    release(docs.sparkSession)
     held = members.filter(F.col("size") <= bucket).join(reps.select("rid", "sketch"), "rid")
     candidates = _grouped(held, ["node"], search, ["a", "b"], "a binary, b binary")
     dense = members.filter(F.col("size") > bucket)
@@ -339,6 +340,7 @@ def jaccard_classes(
         }
 
     found = checkpointed(_grouped(dealt, ["comp", "i", "j"], verify, ["a", "b", "links", "whole"], "a binary, b binary, links long, whole boolean"))
+    release(docs.sparkSession)
     # a component verified in one task needs no more: its members hang on their class's least
     hung = found.filter("b is not null")
     classes = hung.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("comp"))
