@@ -5,7 +5,12 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +59,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table that later steps read."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def slices(batch: pa.RecordBatch, limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose string or binary ``column`` takes about ``limit`` bytes at most, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(sizes):
+        reach = np.cumsum(sizes[at:])
+        n = max(1, int(np.searchsorted(reach, limit, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """``df``, marked for broadcasting if it has at most ``rows`` rows of ``size`` bytes as text, which is measured."""
+    some = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if some[0] <= rows and some[1] <= size else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
