@@ -118,12 +118,13 @@ def item_windows(index: DataFrame, items: DataFrame, id_col: str, text_col: str,
     return held.withColumn("shard", F.pmod(F.xxhash64("wid"), F.lit(shards)).cast("int"))
 
 
-def _meet(bases: np.ndarray, listed: np.ndarray, slop: int) -> np.ndarray:
-    """Of ascending ``bases`` those with an element of ``listed`` from 0 to ``slop`` above."""
+def _meet(bases: np.ndarray, listed: np.ndarray, place: int, slop: int) -> np.ndarray:
+    """Which of ``bases`` have an element of the ascending ``listed`` from ``place`` to ``place`` + ``slop`` above them."""
     if not len(listed):
-        return bases[:0]
-    at = np.searchsorted(listed, bases)
-    return bases[(at < len(listed)) & (listed[np.minimum(at, len(listed) - 1)] <= bases + slop)]
+        return np.zeros(len(bases), bool)
+    asked = bases + place
+    at = np.searchsorted(listed, asked)
+    return (at < len(listed)) & (listed[np.minimum(at, len(listed) - 1)] <= asked + slop)
 
 
 def _tables(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -165,7 +166,7 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
             if slop:
                 bases = np.unique(bases[:, None] - np.arange(slop + 1))
             if t2 is not None:
-                bases = _meet(bases, known[t2] - int(o2), slop) if t2 in known else bases[:0]
+                bases = bases[_meet(bases, known[t2], int(o2), slop)] if t2 in known else bases[:0]
             if len(bases):
                 out.append((wid, bases))
         pdf = pd.DataFrame(out, columns=["wid", "bases"])
@@ -180,11 +181,12 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
         known = _tables(have)
         starts, found = known[""], []
         for item, length, bases, ts in zip(asks["item"], asks["length"], asks["bases"], asks["terms"], strict=True):
-            adjusted = [known[x["term"]] - x["place"] for x in ts]
             bases = np.asarray(bases)
-            for a in adjusted:
-                bases = _meet(bases, a, slop)
-            hit = [np.isin(bases, a) for a in adjusted]
+            for x in ts:
+                bases = bases[_meet(bases, known[x["term"]], x["place"], slop)]
+            if not len(bases):
+                continue
+            hit = [_meet(bases, known[x["term"]], x["place"], 0) for x in ts]
             exact, tight = np.logical_and.reduce(hit), np.logical_or.reduce(hit)
             bases, exact = bases[tight], exact[tight]
             row = np.searchsorted(starts, bases + slop, side="right") - 1
