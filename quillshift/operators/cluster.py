@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillshift.functions import text as T
+from quillshift.operators import metric
 from quillshift.operators.components import components
-from quillshift.sources.shared import checkpointed
+from quillshift.operators.spanning import spanning_forest
+from quillshift.sources.shared import checkpointed, small
 
 
 @dataclass(frozen=True)
@@ -110,81 +110,42 @@ def relax_until_dense(df: DataFrame, pattern: str = "collapsed", t: Thresholds =
 # ---- embeddings
 
 
-def _cosine_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+#: What ``distance`` may be: a metric, or one of the two plain expressions.
+Distance = metric.Metric | Callable[[Column, Column], Column]
 
 
-def _euclidean_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    # differences, not products: equal distances stay equal to the last bit
-    return np.sqrt(sum((x[:, d, None] - y[None, :, d]) ** 2 for d in range(x.shape[1])))
+def _metric(distance: Distance) -> metric.Metric:
+    return distance if isinstance(distance, metric.Metric) else {cosine_distance: metric.COSINE, euclidean_distance: metric.EUCLIDEAN}[distance]
 
 
-def pair_distances(df: DataFrame, eps: float, id_col: str, vec: str, block_of: Callable[[np.ndarray, np.ndarray], np.ndarray], within: str | None = None, block: int = 1024) -> DataFrame:
-    """(a, b, d) with a < b of all pairs at a distance of at most ``eps``.
-
-    Rows, or those of each value of ``within``, are dealt into parts of about ``block`` rows; a pair of
-    parts is one task's matrix, of which only close pairs are put out.  Null vectors and nulls
-    in ``within`` are in no pair.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("w")).filter("id is not null and v is not null")
-    sized = rows.join(rows.groupBy("w").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("parts")), "w")
-    held = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = held.select("w", "id", "v", "own", F.explode(meets).alias("m")).select("w", "m.i", "m.j", "id", "v", "own")
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, own, ids = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), pdf["own"].to_numpy(), pdf["id"].to_numpy()
-        v = np.zeros((len(pdf), max(map(len, pdf["v"]))))
-        for n, x in enumerate(pdf["v"]):
-            v[n, : len(x)] = x
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        d = block_of(v[left], v[right])
-        r, c = np.nonzero(d <= eps)
-        a, b = ids[left[r]], ids[right[c]]
-        # within one part each pair shows twice, across parts once
-        keep = a < b if i == j else a != b
-        swap = a > b
-        low, high = np.where(swap, b, a), np.where(swap, a, b)
-        return pd.DataFrame({"a": low[keep], "b": high[keep], "d": d[r, c][keep]})
-
-    return dealt.groupBy("w", "i", "j").applyInPandas(near, f"a {kind}, b {kind}, d double")
-
-
-def close_pairs(df: DataFrame, eps: float, id_col: str, vec: str, distance: Callable[[Column, Column], Column] = cosine_distance, within: str | None = None) -> DataFrame:
+def close_pairs(df: DataFrame, eps: float, id_col: str, vec: str, distance: Distance = cosine_distance, within: str | None = None) -> DataFrame:
     """(a, b) with a < b and distance at most ``eps``; with ``within``, only inside equal values of it.
 
-    All pairs of the rows given: meant for the members of one format cluster or a sample.  The
-    two plain distances are taken by blocks of a matrix, any other by a join.
+    Rows are compared in cells about pivots (``operators.metric``), so rows that are far apart never meet.
     """
-    block_of = {cosine_distance: _cosine_block, euclidean_distance: _euclidean_block}.get(distance)
-    if block_of is not None:
-        return pair_distances(df, eps, id_col, vec, block_of, within).select("a", "b")
-    left = df.select(F.col(id_col).alias("a"), F.col(vec).alias("va"), *([F.col(within).alias("w")] if within else []))
-    right = df.select(F.col(id_col).alias("b"), F.col(vec).alias("vb"), *([F.col(within).alias("w2")] if within else []))
-    on = F.col("a") < F.col("b")
-    if within:
-        on = on & (F.col("w") == F.col("w2"))
-    return left.join(right, on).filter(distance(F.col("va"), F.col("vb")) <= eps).select("a", "b")
-
-
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Callable[[Column, Column], Column] = cosine_distance, within: str | None = None) -> DataFrame:
+    m = _metric(distance)
+    placed = metric.cells(metric.points(df, m, id_col, vec, within), m, eps)
+    return metric.pairs_within(placed, m, eps).select("a", "b")
+
+
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Distance = cosine_distance, within: str | None = None, weight: str | None = None) -> DataFrame:
     """(id, label): the smallest core id of the cluster, -1 for noise.
 
     A core has ``min_samples`` rows within ``eps``, itself included; a border row joins its
-    smallest core neighbour's cluster.  Cores within ``eps`` of each other are joined by union-find.
+    smallest core neighbour's cluster.  Cores within ``eps`` of each other are joined by union-find.  With
+    ``weight`` a row stands for so many.  Neighbours are counted in cells about pivots, and only a forest of
+    each block's cores leaves it, so no table of pairs is made.
     """
-    pairs = checkpointed(close_pairs(df, eps, id_col, vec, distance, within))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("deg"))
-    ids = df.select(F.col(id_col).alias("id"))
-    core = ids.join(degree, ids["id"] == degree["a"], "left").filter(F.coalesce("deg", F.lit(1)) >= min_samples).select("id")
-    core = checkpointed(core)
-    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    joined = checkpointed(components(links))
+    m = _metric(distance)
+    rows = metric.points(df, m, id_col, vec, within, weight)
+    placed = checkpointed(metric.cells(rows, m, eps))
+    others = metric.neighbour_weights(placed, m, eps)
+    core = checkpointed(rows.select("id", "w").join(others, "id", "left").filter(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"))
+    links = checkpointed(metric.core_links(placed, core, m, eps))
+    joined = checkpointed(components(links.filter("core").select("a", "b")))
     label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("root", "id").alias("label"))
-    border = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
+    border = links.filter("not core").join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
+    ids = df.select(F.col(id_col).alias("id"))
     return ids.join(label, "id", "left").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("label", "near_label", F.lit(-1)).alias("label"))
 
 
@@ -200,26 +161,17 @@ def knee(xs: Sequence[float], ys: Sequence[float]) -> float | None:
 
 
 def label_counts(df: DataFrame, xs: Sequence[float], id_col: str = "vec_id", vec: str = "embedding") -> list[int]:
-    """How many labels density clustering with two rows gives at each eps of the ascending ``xs``; noise counts as one.
+    """How many labels density clustering with two rows gives at each eps of ``xs``; noise counts as one.
 
-    With two rows a cluster is a component of the graph of close pairs.  Distances are taken
-    once, and each eps joins only components that are still apart.
+    With two rows a cluster is a component of the graph of close pairs, and its edges up to eps in the spanning
+    forest are one fewer than its rows.  So one forest serves every eps.
     """
-    pairs = checkpointed(pair_distances(df, max(xs), id_col, vec, _cosine_block))
+    edges = checkpointed(spanning_forest(df, max(xs), id_col, vec))
     total = df.count()
-    roots = checkpointed(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0))
-    counts, low = [], -1.0
-    for x in xs:
-        new = pairs.filter((F.col("d") > low) & (F.col("d") <= x))
-        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        ends = new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        joined = checkpointed(components(ends.filter("a <> b").distinct()))
-        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = checkpointed(moved.unionByName(joined.join(roots, "node", "left_anti")))
-        held, groups = roots.agg(F.count(F.lit(1)), F.count_distinct("root")).first()
-        counts.append(groups + (held < total))
-        low = x
-    return counts
+    near = edges.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.min("d").alias("d"))
+    upto = lambda t: t.agg(*[F.count_if(F.col("d") <= x) for x in xs]).first()
+    joined, touched = upto(edges), upto(near)
+    return [n - e + (n < total) for n, e in zip(touched, joined, strict=True)]
 
 
 def knee_eps(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", steps: int = 10, default: float = 0.5) -> float:
@@ -243,7 +195,7 @@ def nearest_centroid(points: DataFrame, centres: DataFrame, id_col: str, vec: st
 
     There is a centroid for each dense cluster; a broadcast nested loop reads the points once.
     """
-    each = points.select(id_col, vec).join(centres.select(key, "centroid"), on=F.lit(True)).select(id_col, key, cosine_distance(F.col(vec), F.col("centroid")).alias("distance"))
+    each = points.select(id_col, vec).join(small(centres.select(key, "centroid")), on=F.lit(True)).select(id_col, key, cosine_distance(F.col(vec), F.col("centroid")).alias("distance"))
     return each.groupBy(id_col).agg(F.min(F.struct("distance", key)).alias("_m")).select(id_col, F.col(f"_m.{key}").alias(key), F.col("_m.distance").alias("distance"))
 
 
@@ -310,21 +262,12 @@ def feature_clusters(df: DataFrame, names: Sequence[str], eps: float = 0.1, min_
     return vectors.join(points.join(found, "id").select("v", "label"), "v").select(F.col("_id").alias(id_col), "label")
 
 
-def weighted_dbscan(points: DataFrame, eps: float, min_samples: int, distance: Callable[[Column, Column], Column] = euclidean_distance) -> DataFrame:
+def weighted_dbscan(points: DataFrame, eps: float, min_samples: int, distance: Distance = euclidean_distance) -> DataFrame:
     """As ``dbscan`` over points (id, v, w) that stand for ``w`` equal rows each."""
-    pairs = checkpointed(close_pairs(points, eps, "id", "v", distance))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(points.select(F.col("id").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("others"))
-    core = checkpointed(points.join(near, points["id"] == near["a"], "left").filter(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"))
-    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    joined = checkpointed(components(links))
-    label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("root", "id").alias("label"))
-    border = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
-    ids = points.select("id")
-    return ids.join(label, "id", "left").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("label", "near_label", F.lit(-1)).alias("label"))
+    return dbscan(points, eps, min_samples, "id", "v", distance, weight="w")
 
 
 def mixed_clusters(df: DataFrame, alpha: float = 0.5, eps: float = 0.4, min_samples: int = 8, id_col: str = "vec_id", vec: str = "embedding", numbers: str = "numbers") -> DataFrame:
     """(id, label): density clusters by ``mixed_distance`` of an embedding and an array of numbers."""
     held = df.select(F.col(id_col).alias("id"), F.struct(F.col(vec).alias("e"), F.col(numbers).alias("f")).alias("v"))
-    return dbscan(held, eps, min_samples, "id", "v", lambda a, b: mixed_distance(alpha, (a["e"], b["e"]), (a["f"], b["f"])))
+    return dbscan(held, eps, min_samples, "id", "v", metric.Metric(alpha))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillshift.functions import text as T
 from quillshift.functions.positions import Abs, Edge, extract_column, valid_cut
 from quillshift.operators import alignment, cluster, metrics, propagate, relational
+from quillshift.operators.metric import Metric
 from quillshift.plans.model import Config, fit
 from quillshift.plans.providers import PatternProvider
 
@@ -742,8 +743,7 @@ SELECT a, b FROM p
 def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that are close by an embedding and a number together."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.col("embedding").alias("e"), F.array((F.col("vec_id") % 7) / F.lit(7.0)).alias("f")).alias("v"))
-    far = lambda a, b: cluster.mixed_distance(0.5, (a["e"], b["e"]), (a["f"], b["f"]))
-    return cluster.close_pairs(e, 0.3, "vec_id", "v", far)
+    return cluster.close_pairs(e, 0.3, "vec_id", "v", Metric(0.5))
 
 
 # ---- fits on given clusters, given programs, and components split twice
