@@ -778,3 +778,50 @@ def resolved_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = PatternProvider([r"(?P<level>\d)-(?P<word>.+)"]), PatternProvider([r"(?P<word>.+) \((?P<level>\d)\)"])
     made = fit(rows, *parts, 8, order_by="most").transform_resolved(rows)
     return made.select(F.col("row_id").alias("o_orderkey"), F.col("transformation").alias("priority"))
+
+
+# ---- metric cells, exact resolution, programs of many formats
+
+
+@query(_VEC + " SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.7")
+def cosine_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close pairs of the whole table."""
+    return cluster.close_pairs(table(spark, sf_dir, "embeddings"), 0.7, "vec_id", "embedding")
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.6),
+core AS (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) + 1 >= 3),
+l AS (SELECT p.a, p.b FROM p JOIN core x ON x.id = p.a JOIN core y ON y.id = p.b),
+r(id, low) AS (SELECT id, id FROM core UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id),
+lab AS (SELECT id, min(low) AS label FROM r GROUP BY 1),
+border AS (SELECT p.a AS id, min(lab.label) AS label FROM p JOIN lab ON lab.id = p.b GROUP BY 1)
+SELECT v.vec_id AS id, coalesce(lab.label, border.label, -1) AS label FROM v LEFT JOIN lab ON lab.id = v.vec_id LEFT JOIN border ON border.id = v.vec_id
+""")
+def dbscan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the whole table."""
+    return cluster.dbscan(table(spark, sf_dir, "embeddings"), 0.6, 3).withColumn("label", F.col("label").cast("long"))
+
+
+@query("""
+WITH g AS (SELECT unnest(range(0, 10))::VARCHAR AS d), l AS (SELECT (9 - d::INT) AS ra, d::INT AS rb, ((d::INT + 5) % 10) AS rc, d FROM g),
+w AS (SELECT c_custkey, a.d || b.d || c.d || e.d AS picked, row_number() OVER (PARTITION BY c_custkey ORDER BY a.ra, b.rb, c.rc, e.ra) AS place
+      FROM customer JOIN l a ON strpos(c_name, a.d) > 0 JOIN l b ON strpos(c_name, b.d) > 0 JOIN l c ON strpos(c_name, c.d) > 0 JOIN l e ON strpos(c_name, e.d) > 0
+      WHERE regexp_matches(c_name, a.d || '.*' || b.d || '.*' || c.d || '.*' || e.d))
+SELECT c_custkey, picked FROM customer LEFT JOIN w USING (c_custkey) WHERE coalesce(place, 1) = 1
+""")
+def resolved_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 10,000 combinations of digits the first, in the order of their ranks, that stand in the name one after the other."""
+    digits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
+    down, turned = F.reverse(digits), F.concat(F.slice(digits, 6, 5), F.slice(digits, 1, 5))
+    picked = propagate.resolved_parts(F.col("c_name"), F.array(down, digits, turned, down))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(picked, "").alias("picked"))
+
+
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '^[A-Za-z]+'), '') AS word FROM documents")
+def many_formats_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of documents, nearly each of which has a format of its own: programs of all formats, made by tasks."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("input"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("output"))
+    model = fit(d, PatternProvider(["^(?P<word>[A-Za-z]+)"]), PatternProvider(["^(?P<word>[A-Za-z]+)"]), config=Config(local_formats=100))
+    return model.transform(d).select(F.col("row_id").alias("doc_id"), F.col("transformation").alias("word"))
