@@ -183,7 +183,9 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
         for item, length, bases, ts in zip(asks["item"], asks["length"], asks["bases"], asks["terms"], strict=True):
             bases = np.asarray(bases)
             for x in ts:
-                bases = bases[_meet(bases, known[x["term"]], x["place"], slop)]
+                bases = bases[_meet(bases, known[x["term"]], x["place"], slop)] if x["term"] in known else bases[:0]
+                if not len(bases):
+                    break
             if not len(bases):
                 continue
             hit = [_meet(bases, known[x["term"]], x["place"], 0) for x in ts]
