@@ -819,9 +819,9 @@ def resolved_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(picked, "").alias("picked"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '^[A-Za-z]+'), '') AS word FROM documents")
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '^[\p{L}\p{N}]+'), '') AS word FROM documents")
 def many_formats_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of documents, nearly each of which has a format of its own: programs of all formats, made by tasks."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("input"), F.regexp_extract("text", "^[A-Za-z]+", 0).alias("output"))
-    model = fit(d, PatternProvider(["^(?P<word>[A-Za-z]+)"]), PatternProvider(["^(?P<word>[A-Za-z]+)"]), config=Config(local_formats=100))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("input"), F.regexp_extract("text", r"^[\p{L}\p{N}]+", 0).alias("output"))
+    model = fit(d, PatternProvider([r"^(?P<word>[^\W_]+)"]), PatternProvider([r"^(?P<word>[^\W_]+)"]), config=Config(local_formats=100))
     return model.transform(d).select(F.col("row_id").alias("doc_id"), F.col("transformation").alias("word"))
