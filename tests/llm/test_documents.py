@@ -456,3 +456,54 @@ def test_top_word_is_that_of_the_whole_text():
     first = [f"w{i}" for i in range(40)]
     assert statistics(" ".join([*first, *["spam"] * 60]))[at] == statistics(" ".join([*["spam"] * 60, *first]))[at]
     assert statistics(" ".join([*first, *["spam"] * 60]))[at] == pytest.approx(np.log((60 + 0.02 * 60) / (100 + 60)))
+
+
+def near_line(rng, line, alphabet, size, places):
+    """The line with characters exchanged in a few places, while it stays at 0.8."""
+    grams = lambda t: {t[i : i + 8] for i in range(max(1, len(t) - 7))}
+    made = line
+    for _ in range(places):
+        at = rng.randrange(len(line))
+        trial = made[:at] + rng.choice(alphabet) + made[at + 1 :]
+        a, b = grams(line), grams(trial)
+        if len(a & b) < 0.8 * len(a | b):
+            break
+        made = trial
+    return made
+
+
+@pytest.mark.parametrize("size", [60, 150, 600])
+def test_near_lines_are_linked_in_any_script(spark, size):
+    """Recall of pairs at 0.8 or more by script and length, lines without the commonest letters among them."""
+    rng = random.Random(size)
+    scripts = {
+        "few letters": "bcdfghijklmnopqrstuvwxyz", "digits": "0123456789", "latin": "abcdefghijklmnopqrstuvwxyz      äöü", "cyrillic": "".join(map(chr, range(0x430, 0x450))) + "   ",
+        "greek": "".join(map(chr, range(0x3B1, 0x3C9))) + "  ", "han": "".join(map(chr, range(0x4E00, 0x5200))), "mixed": "abc 中文字🙂🙃 0123",
+    }
+    rows, kinds = [], {}
+    for kind, alphabet in scripts.items():
+        for _ in range(40):
+            line = "".join(rng.choices(alphabet, k=size)).strip() + "z"
+            kinds[len(rows) // 2] = kind
+            rows += [(len(rows), line), (len(rows) + 1, near_line(rng, line, alphabet, size, max(1, size // 60)))]
+    classes = {r["doc_id"]: r["class_id"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    missed = {k: sum(classes[2 * i] != classes[2 * i + 1] for i, kind in kinds.items() if kind == k) for k in scripts}
+    assert sum(missed.values()) <= 0.01 * len(kinds), missed
+    assert len(set(classes.values())) >= len(kinds)
+
+
+def test_lines_that_differ_in_digits_alone(spark):
+    """600 letters without e and a, and 40 digits of their own: 0.88 or more."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(30):
+        base = "".join(rng.choices("bcdfghijklmnopqrstuvwxyz", k=600))
+        rows += [(2 * n + j, base + "".join(rng.choices("0123456789", k=40))) for j in (0, 1)]
+    classes = {r["doc_id"]: r["class_id"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert sum(classes[2 * n] == classes[2 * n + 1] for n in range(30)) >= 30
+
+
+def test_lines_under_other_names(spark):
+    df = spark.createDataFrame([(1, "a line of some length\nanother one", "x"), (2, "A line of some length", "y")], "key long, body string, text string")
+    out = {r["key"]: (r["body"], r["text"]) for r in drop_repeated_lines(df, id_col="key", text_col="body").collect()}
+    assert out == {1: ("a line of some length\nanother one", "x"), 2: ("", "y")}
