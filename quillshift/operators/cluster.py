@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,16 +129,16 @@ def close_pairs(df: DataFrame, eps: float, id_col: str, vec: str, distance: Dist
     return metric.pairs_within(placed, m, eps).select("a", "b")
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Distance = cosine_distance, within: str | None = None, weight: str | None = None) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", distance: Distance = cosine_distance, within: str | None = None, weight: str | None = None, eps_col: str | None = None) -> DataFrame:
     """(id, label): the smallest core id of the cluster, -1 for noise.
 
     A core has ``min_samples`` rows within ``eps``, itself included; a border row joins its
     smallest core neighbour's cluster.  Cores within ``eps`` of each other are joined by union-find.  With
-    ``weight`` a row stands for so many.  Neighbours are counted in cells about pivots, and only a forest of
+    ``weight`` a row stands for so many; ``eps_col`` has an eps of up to ``eps`` for each value of ``within``.  Neighbours are counted in cells about pivots, and only a forest of
     each block's cores leaves it, so no table of pairs is made.
     """
     m = _metric(distance)
-    rows = metric.points(df, m, id_col, vec, within, weight)
+    rows = metric.points(df, m, id_col, vec, within, weight, eps_col)
     placed = checkpointed(metric.cells(rows, m, eps))
     others = metric.neighbour_weights(placed, m, eps)
     core = checkpointed(rows.select("id", "w").join(others, "id", "left").filter(F.col("w") + F.coalesce("others", F.lit(0)) >= min_samples).select("id"))
@@ -160,24 +161,42 @@ def knee(xs: Sequence[float], ys: Sequence[float]) -> float | None:
     return xs[best] if off[best] > 0 else None
 
 
-def label_counts(df: DataFrame, xs: Sequence[float], id_col: str = "vec_id", vec: str = "embedding") -> list[int]:
-    """How many labels density clustering with two rows gives at each eps of ``xs``; noise counts as one.
+def label_counts(df: DataFrame, xs: Sequence[float], id_col: str = "vec_id", vec: str = "embedding", within: str | None = None) -> DataFrame:
+    """(group, n, counts): how many labels density clustering with two rows gives at each eps of ``xs``; noise counts as one.
 
-    With two rows a cluster is a component of the graph of close pairs, and its edges up to eps in the spanning
-    forest are one fewer than its rows.  So one forest serves every eps.
+    A group is a value of ``within``, or the whole table.  With two rows a cluster is a component of the graph of
+    close pairs, and its edges up to eps in the spanning forest are one fewer than its rows.  So one forest
+    serves every eps.
     """
-    edges = checkpointed(spanning_forest(df, max(xs), id_col, vec))
-    total = df.count()
-    near = edges.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.min("d").alias("d"))
-    upto = lambda t: t.agg(*[F.count_if(F.col("d") <= x) for x in xs]).first()
-    joined, touched = upto(edges), upto(near)
-    return [n - e + (n < total) for n, e in zip(touched, joined, strict=True)]
+    edges = checkpointed(spanning_forest(df, max(xs), id_col, vec, within=within))
+    near = edges.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.min("d").alias("near"))
+    own = edges.groupBy(F.col("a").alias("id")).agg(F.array(*[F.count_if(F.col("d") <= x) for x in xs]).alias("edges"))
+    rows = df.select(F.col(id_col).alias("id"), (F.col(within) if within else F.lit(0)).alias("group"))
+    held = rows.join(near, "id", "left").join(own, "id", "left")
+    # clustered rows, less the edges that join them; an edge counts with the row it begins at
+    upto = lambda i, x: F.count_if(F.col("near") <= x) - F.coalesce(F.sum(F.get("edges", F.lit(i))), F.lit(0))
+    noise = lambda x: F.bool_or(F.col("near").isNull() | (F.col("near") > x)).cast("int")
+    return held.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.array(*[upto(i, x) + noise(x) for i, x in enumerate(xs)]).alias("counts"))
+
+
+def knee_eps(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", steps: int = 10, default: float = 0.5, within: str | None = None) -> DataFrame:
+    """(group, eps): the knee of the number of labels over eps in [0.1, 1.0], noise counting as one, for each value of ``within``."""
+    xs = [round(0.1 + 0.9 * i / (steps - 1), 6) for i in range(steps)]
 
+    @F.pandas_udf("double")
+    def at(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda ys: knee(xs, list(ys)) or default).astype(float)
 
-def knee_eps(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", steps: int = 10, default: float = 0.5) -> float:
-    """Sweep eps over [0.1, 1.0] and take the knee of the number of labels (noise counts as one)."""
-    xs = [round(0.1 + 0.9 * i / (steps - 1), 6) for i in range(steps)]
-    return knee(xs, label_counts(df, xs, id_col, vec)) or default
+    return label_counts(df, xs, id_col, vec, within).select("group", at(F.col("counts")).alias("eps"))
+
+
+def knee_clusters(df: DataFrame, min_samples: int, id_col: str = "vec_id", vec: str = "embedding", within: str | None = None) -> DataFrame:
+    """(id, label): density clusters of the table, or of each value of ``within``, at its own knee."""
+    grouped = df.withColumn("_group", F.col(within) if within else F.lit(0))
+    found = checkpointed(knee_eps(df, id_col, vec, within=within))
+    held = grouped.join(small(found.withColumnRenamed("group", "_group")), "_group")
+    top = found.agg(F.max("eps")).first()[0]
+    return dbscan(held, top or 0.5, min_samples, id_col, vec, within="_group", eps_col="eps")
 
 
 def centroids(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
@@ -223,8 +242,8 @@ def cluster(df: DataFrame, strategy: str = "collapse_embedding", id_col: str = "
 
     ``collapse``: surface format.  ``composition``: format and label composition (format alone
     where a row is all digits).  ``embedding``: density at the knee.  ``collapse_embedding``:
-    relaxed formats, split by density, sparse ones merged.  ``collapse_split``: formats split
-    by density.  ``embedding_collapse``: density clusters split by format, sparse ones merged.
+    relaxed formats, each split by density at its own knee, sparse ones merged.  ``collapse_split``: formats split
+    so.  ``embedding_collapse``: density clusters split by format, sparse ones merged.
     """
     formed = df.withColumn("collapsed", T.collapse(F.col(text)))
     if strategy == "collapse":
@@ -233,15 +252,15 @@ def cluster(df: DataFrame, strategy: str = "collapse_embedding", id_col: str = "
         keys = ["collapsed"] if labels not in df.columns or all_digit_gate(df, text) else ["collapsed", labels]
         return by_columns(formed, keys).select(id_col, "cluster_id")
     if strategy == "embedding":
-        found = dbscan(df, knee_eps(df, id_col, vec), 2, id_col, vec)
+        found = knee_clusters(df, t.sparse, id_col, vec)
         return by_columns(found, ["label"]).select(F.col("id").alias(id_col), "cluster_id")
     if strategy == "embedding_collapse":
-        found = dbscan(df, knee_eps(df, id_col, vec), 2, id_col, vec).withColumnRenamed("id", id_col)
+        found = knee_clusters(df, t.sparse, id_col, vec).withColumnRenamed("id", id_col)
         both = by_columns(formed.join(found, id_col), ["label", "collapsed"])
         return merge_sparse(both.select(id_col, vec, "cluster_id"), id_col, "cluster_id", vec, t)
     relaxed = relax_until_dense(formed, t=t) if strategy != "collapse_split" else formed.withColumn("relaxed", F.col("collapsed"))
     first = checkpointed(by_columns(relaxed, ["relaxed"], "format_id"))
-    split = dbscan(first, knee_eps(first, id_col, vec), t.sparse, id_col, vec, within="format_id").withColumnRenamed("id", id_col)
+    split = knee_clusters(first, t.sparse, id_col, vec, "format_id").withColumnRenamed("id", id_col)
     both = by_columns(first.join(split, id_col), ["format_id", "label"])
     if strategy == "collapse_split":
         return both.select(id_col, "cluster_id")

@@ -72,8 +72,11 @@ class Metric:
 COSINE, EUCLIDEAN = Metric(1.0), Metric(0.0)
 
 
-def points(df: DataFrame, metric: Metric, id_col: str, vec: str, within: str | None = None, weight: str | None = None) -> DataFrame:
-    """(id, a, b, w, cell): the rows that can be in a pair; ``vec`` is an array, or a struct (e, f) for a mixed metric."""
+def points(df: DataFrame, metric: Metric, id_col: str, vec: str, within: str | None = None, weight: str | None = None, limit: str | None = None) -> DataFrame:
+    """(id, a, b, w, lim, cell): the rows that can be in a pair; ``vec`` is an array, or a struct (e, f) for a mixed metric.
+
+    ``limit`` is a column of greatest distances, one for all rows of a value of ``within``.
+    """
     mixed = 0 < metric.share < 1
     none = F.array().cast("array<double>")
     of = lambda c: F.col(c).cast("array<double>")
@@ -82,7 +85,7 @@ def points(df: DataFrame, metric: Metric, id_col: str, vec: str, within: str | N
     finite = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(
         F.col(id_col).alias("id"), a.alias("a"), b.alias("b"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("w"),
-        (F.col(within).cast("string") if within else F.lit("")).alias("cell"),
+        (F.col(limit).cast("double") if limit else F.lit(float("inf"))).alias("lim"), (F.col(within).cast("string") if within else F.lit("")).alias("cell"),
     ).filter("id is not null and cell is not null")
     rows = rows.filter(finite(F.col("a")) & finite(F.col("b")))
     return rows.filter(F.exists("a", lambda x: x != 0)) if metric.share > 0 else rows
@@ -142,14 +145,14 @@ def split_once(rows: DataFrame, metric: Metric, eps: float, level: int, whole: i
         kids = [np.append(h, np.flatnonzero(r)).astype(np.int32) for h, r in zip(home, reach, strict=True)]
         return mine.drop(columns="salt").assign(kids=kids)
 
-    schema = f"cell string, id {kind}, a array<double>, b array<double>, w long, guest long, kids array<int>"
-    placed = checkpointed(asked.select("cell", "id", "a", "b", "w", "guest", "salt").groupBy("cell", "salt").cogroup(dealt.groupBy("pcell", "psalt")).applyInPandas(deal, schema))
+    schema = f"cell string, id {kind}, a array<double>, b array<double>, w long, lim double, guest long, kids array<int>"
+    placed = checkpointed(asked.select("cell", "id", "a", "b", "w", "lim", "guest", "salt").groupBy("cell", "salt").cogroup(dealt.groupBy("pcell", "psalt")).applyInPandas(deal, schema))
     cost = placed.select("cell", F.explode("kids").alias("kid")).groupBy("cell", "kid").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
     worth = checkpointed(big.join(cost, "cell").select("cell", (F.col("cost") <= 0.5 * F.col("n").cast("double") * F.col("n")).alias("worth")))
     judged = placed.join(small(worth), "cell")
-    moved = judged.filter("worth").select("id", "a", "b", "w", "guest", "cell", F.posexplode("kids").alias("pos", "kid"))
-    split = moved.select("id", "a", "b", "w", F.concat_ws(".", "cell", "kid").alias("cell"), F.when(F.col("pos") > 0, F.col("guest").bitwiseOR(F.lit(1 << level))).otherwise(F.col("guest")).alias("guest"))
-    left = rows.join(small(big.select("cell")), "cell", "left_anti").unionByName(judged.filter("not worth").select("id", "a", "b", "w", "cell", "guest"))
+    moved = judged.filter("worth").select("id", "a", "b", "w", "lim", "guest", "cell", F.posexplode("kids").alias("pos", "kid"))
+    split = moved.select("id", "a", "b", "w", "lim", F.concat_ws(".", "cell", "kid").alias("cell"), F.when(F.col("pos") > 0, F.col("guest").bitwiseOR(F.lit(1 << level))).otherwise(F.col("guest")).alias("guest"))
+    left = rows.join(small(big.select("cell")), "cell", "left_anti").unionByName(judged.filter("not worth").select("id", "a", "b", "w", "lim", "cell", "guest"))
     return split, left
 
 
@@ -192,7 +195,7 @@ def in_blocks(placed: DataFrame, see: Callable[[pd.DataFrame, pd.DataFrame, bool
     return dealt.groupBy("cell", "i", "j").applyInPandas(block, schema)
 
 
-def _distances(metric: Metric, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
+def block_distances(metric: Metric, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
     """Distances of a block; infinite for a row itself, for pairs of another block, and undefined ones.
 
     Within one part only the half above the diagonal counts.
@@ -205,6 +208,7 @@ def _distances(metric: Metric, left: pd.DataFrame, right: pd.DataFrame, same: bo
     d[np.isnan(d)] = np.inf
     guest, guest2 = left["guest"].to_numpy(), right["guest"].to_numpy()
     d[(guest[:, None] & guest2[None, :]) != 0] = np.inf
+    d[d > left["lim"].to_numpy()[:, None]] = np.inf
     if same:
         d[np.tril_indices(len(d))] = np.inf
     return d
@@ -215,7 +219,7 @@ def pairs_within(placed: DataFrame, metric: Metric, eps: float) -> DataFrame:
     kind = placed.schema["id"].dataType.simpleString()
 
     def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = _distances(metric, left, right, same)
+        d = block_distances(metric, left, right, same)
         r, c = np.nonzero(d <= eps)
         x, y = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
         swap = x > y
@@ -229,7 +233,7 @@ def neighbour_weights(placed: DataFrame, metric: Metric, eps: float) -> DataFram
     kind = placed.schema["id"].dataType.simpleString()
 
     def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _distances(metric, left, right, same) <= eps
+        near = block_distances(metric, left, right, same) <= eps
         seen = [pd.DataFrame({"id": side["id"].to_numpy(), "others": n}) for side, n in ((left, near @ right["w"].to_numpy()), (right, left["w"].to_numpy() @ near))]
         return pd.concat(seen).query("others > 0")
 
@@ -270,7 +274,7 @@ def core_links(placed: DataFrame, cores: DataFrame, metric: Metric, eps: float)
     flagged = placed.join(cores.select("id", F.lit(True).alias("core")), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
 
     def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _distances(metric, left, right, same) <= eps
+        near = block_distances(metric, left, right, same) <= eps
         core, core2 = left["core"].to_numpy(bool), right["core"].to_numpy(bool)
         ids, ids2 = left["id"].to_numpy(), right["id"].to_numpy()
         out = _joined(near & core[:, None] & core2[None, :], ids, ids2)

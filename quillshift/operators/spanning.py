@@ -25,7 +25,7 @@ def core_distances(df: DataFrame, k: int, limit: float, id_col: str = "vec_id",
     kind = placed.schema["id"].dataType.simpleString()
 
     def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = metric._distances(by, left, right, same)
+        d = metric.block_distances(by, left, right, same)
         d = np.where(d <= limit, d, np.inf)
         if same:
             d = np.minimum(d, d.T)
@@ -65,19 +65,19 @@ def lightest(edges: DataFrame) -> DataFrame:
     return found.distinct() if found is not None else open_.select(F.col("a").cast(kind), F.col("b").cast(kind), "d")
 
 
-def spanning_forest(df: DataFrame, limit: float, id_col: str = "vec_id", vec: str = "embedding", by: Metric = COSINE, cores: DataFrame | None = None) -> DataFrame:
-    """(a, b, d): the minimum spanning forest of the rows' pairs at a distance of at most ``limit``.
+def spanning_forest(df: DataFrame, limit: float, id_col: str = "vec_id", vec: str = "embedding", by: Metric = COSINE, cores: DataFrame | None = None, within: str | None = None) -> DataFrame:
+    """(a, b, d): the minimum spanning forest of the rows' pairs at a distance of at most ``limit``; with ``within``, of each value of it.
 
     With ``cores`` (id, core) the distance of a pair is at least the core distance of either, and rows
     without one are left out.  Each block of the matrix gives its own forest, fewer edges than it has rows: an edge that is the heaviest of
     a circle in a block is so in the whole.  The forests are joined by their lightest edges.
     """
-    placed = metric.cells(metric.points(df, by, id_col, vec), by, limit)
+    placed = metric.cells(metric.points(df, by, id_col, vec, within), by, limit)
     kind = placed.schema["id"].dataType.simpleString()
     placed = placed.join(cores, "id") if cores is not None else placed.withColumn("core", F.lit(0.0))
 
     def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = metric._distances(by, left, right, same)
+        d = metric.block_distances(by, left, right, same)
         d = np.maximum(np.maximum(d, left["core"].to_numpy()[:, None]), right["core"].to_numpy()[None, :])
         return pd.DataFrame(metric.forest(d, left["id"].to_numpy(), right["id"].to_numpy(), limit), columns=["a", "b", "d"])
 

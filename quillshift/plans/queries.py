@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillshift.functions import text as T
 from quillshift.functions.positions import Abs, Edge, extract_column, valid_cut
-from quillshift.operators import alignment, cluster, metrics, propagate, relational
+from quillshift.operators import alignment, cluster, hierarchy, metrics, propagate, relational, spanning
 from quillshift.operators.metric import Metric
 from quillshift.plans.model import Config, fit
 from quillshift.plans.providers import PatternProvider
@@ -825,3 +826,25 @@ def many_formats_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("input"), F.regexp_extract("text", r"^[\p{L}\p{N}]+", 0).alias("output"))
     model = fit(d, PatternProvider([r"^(?P<word>[^\W_]+)"]), PatternProvider([r"^(?P<word>[^\W_]+)"]), config=Config(local_formats=100))
     return model.transform(d).select(F.col("row_id").alias("doc_id"), F.col("transformation").alias("word"))
+
+
+@query()
+def cluster_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the strategies that find their own eps: formats split by density, merged, and density alone."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.col("url").alias("input"))
+    rows = p.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding"), "row_id")
+    made = [cluster.cluster(rows, s).withColumnRenamed("cluster_id", s) for s in ("collapse_embedding", "collapse_split", "embedding", "embedding_collapse")]
+    return reduce(lambda a, b: a.join(b, "row_id"), made).withColumnRenamed("row_id", "page_id")
+
+
+@query()
+def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most stable density clusters of the vectors."""
+    return hierarchy.hdbscan(table(spark, sf_dir, "embeddings"), 3, 5, limit=2.0)
+
+
+@query()
+def forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minimum spanning forest of the vectors."""
+    made = spanning.spanning_forest(table(spark, sf_dir, "embeddings"), 2.0)
+    return made.select("a", "b", F.round("d", 9).alias("d"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillshift.operators import cluster, metric, spanning
+from quillshift.functions.text import collapse
+from quillshift.operators import cluster, hierarchy, metric, spanning
 
 SHARES = {"cosine": metric.COSINE, "euclidean": metric.EUCLIDEAN, "mixed": metric.Metric(0.4)}
 
@@ -142,3 +143,116 @@ def test_core_distances_and_their_forest(spark, tiny_blocks):
     assert {r["id"]: round(r["core"], 9) for r in cores.collect()} == {k: round(v, 9) for k, v in plain.items()}
     got = spanning.spanning_forest(df, 2.0, cores=cores).collect()
     assert sorted(round(r["d"], 9) for r in got) == plain_forest(rows, metric.COSINE, 2.0, plain)
+
+
+# ---- knees and strategies
+
+
+def plain_knee(rows):
+    xs = [round(0.1 + 0.1 * i, 6) for i in range(10)]
+    counts = [len(set(plain_dbscan(rows, metric.COSINE, x, 2).values())) for x in xs]
+    return cluster.knee(xs, counts) or 0.5
+
+
+def grouped(labels):
+    out = {}
+    for i, label in labels.items():
+        out.setdefault(label, set()).add(i)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_strategies_equal_plain(spark):
+    """Each format has a knee of its own; sparse clusters go to the nearest centroid."""
+    rows = sample(90, 6, clusters=5, dims=4)
+    texts = {i: ("ab 12", "AB-1", "x.y", f"q{'!' * (i % 3)}")[i % 4] for i, *_ in rows}
+    df = frame(spark, rows, metric.COSINE)
+    df = df.join(spark.createDataFrame(list(texts.items()), "vec_id long, input string"), "vec_id").withColumnRenamed("vec_id", "row_id")
+    forms = {r[0]: r[1] for r in df.select("row_id", collapse(F.col("input"))).collect()}
+    by_form = {}
+    for r in rows:
+        by_form.setdefault(forms[r[0]], []).append(r)
+    split = set()
+    for own in by_form.values():
+        split |= grouped(plain_dbscan(own, metric.COSINE, plain_knee(own), 3))
+    of = lambda made: grouped({r["row_id"]: r["cluster_id"] for r in made.collect()})
+    assert of(cluster.cluster(df, "collapse_split")) == split
+    vectors = {r[0]: np.array(r[1]) for r in rows}
+    dense = {c: np.mean([vectors[i] for i in c], axis=0) for c in split if len(c) >= 3}
+    far = lambda a, b: round(1 - float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b)), 12)
+    merged = {c: set(c) for c in dense}
+    for i in (i for c in split if len(c) < 3 for i in c):
+        merged[min(dense, key=lambda c: far(vectors[i], dense[c]))].add(i)
+    assert of(cluster.cluster(df, "collapse_embedding")) == {frozenset(c) for c in merged.values()}
+    assert of(cluster.cluster(df, "embedding")) == grouped(plain_dbscan(rows, metric.COSINE, plain_knee(rows), 3))
+
+
+# ---- hierarchical density clusters
+
+
+def plain_hdbscan(rows, least, k, m=metric.COSINE):
+    """From the top: take the heaviest edge out, again and again."""
+    d = lambda x, y: plain_distance(m, x[1:], y[1:])
+    cores = {x[0]: sorted(d(x, y) for y in rows)[k - 1] for x in rows}
+    edges = sorted((max(d(x, y), cores[x[0]], cores[y[0]]), min(x[0], y[0]), max(x[0], y[0])) for x, y in itertools.combinations(rows, 2))
+    root, tree = {r[0]: r[0] for r in rows}, []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for w, a, b in edges:
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            tree.append((w, a, b))
+
+    def parts(nodes, own):
+        side, grown = {own[-1][1]}, True
+        while grown:
+            grown = False
+            for _, a, b in own[:-1]:
+                if (a in side) != (b in side):
+                    side |= {a, b}
+                    grown = True
+        cut = lambda s: [e for e in own[:-1] if e[1] in s]
+        return (side, cut(side)), (nodes - side, cut(nodes - side))
+
+    def grow(nodes, own, birth):
+        """(value, clusters) of the cluster born at ``birth`` with these rows."""
+        stability = 0.0
+        while True:
+            if not own:
+                return stability, [nodes0] if nodes0 else []
+            density = 1 / max(own[-1][0], 1e-12)
+            (x, ex), (y, ey) = parts(nodes, own)
+            big = [p for p in ((x, ex), (y, ey)) if len(p[0]) >= least]
+            stability += (density - birth) * (len(nodes) if len(big) != 1 else len(nodes) - len(big[0][0]))
+            if len(big) == 2:
+                below = [grow_from(p, e, density) for p, e in big]
+                value = sum(v for v, _ in below)
+                return (value, [c for _, cs in below for c in cs]) if value > stability or nodes0 is None else (stability, [nodes0])
+            if not big:
+                return (stability, [nodes0]) if nodes0 else (0.0, [])
+            nodes, own = big[0]
+
+    def grow_from(nodes, own, birth):
+        nonlocal nodes0
+        before, nodes0 = nodes0, nodes
+        made = grow(nodes, own, birth)
+        nodes0 = before
+        return made
+
+    nodes0 = None
+    _, clusters = grow({r[0] for r in rows}, tree, 0.0)
+    label = {r[0]: -1 for r in rows}
+    for c in clusters:
+        label |= {i: min(c) for i in c}
+    return label
+
+
+@pytest.mark.parametrize(("chunk", "least", "k"), [(10_000, 5, 5), (45, 3, 5)])
+def test_hdbscan_equals_plain(spark, chunk, least, k):
+    rows = sample(120, 7, clusters=6, dims=3)
+    got = {r["id"]: r["label"] for r in hierarchy.hdbscan(frame(spark, rows, metric.COSINE), least, k, chunk=chunk).collect()}
+    want = plain_hdbscan(rows, least, k)
+    assert got == want and len(set(want.values())) > 2
