@@ -1,8 +1,9 @@
 """Main-text extraction with two-pass block rules.
 
 A page is cut into text blocks at block-level tags.  Pass one labels each block from its own
-features: stop-word density, length, link density and the containers it lies in.  Pass two
-lets ambiguous short blocks inherit the label of their nearest decided neighbours.
+features: stop-word density, length and link density, and beside them the containers it lies in: an article
+speaks for it, names of boilerplate against it, and only names that mean nothing else decide alone.  Pass two
+lets ambiguous blocks inherit the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HINTS = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay sidebar widget related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer header masthead comment comments disqus reply replies pagination pager toolbar skip login paywall teaser".split()
 )
+#: Of these the ones that also begin or end names of content (share-price, alert-levels): there the text decides.
+DOUBTFUL = frozenset("alert banner footer header login masthead menu modal notice notices overlay popup promotion recommended recommendations share sharing skip social teaser toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 
 TOKEN = re.compile(
@@ -58,6 +61,7 @@ class Block:
     depth_article: int
     depth_main: int
     heading: bool
+    doubtful: bool = False
     label: str = ""
 
     @property
@@ -81,17 +85,19 @@ class Rules:
     links: float = 0.5
 
 
-def _is_boiler(tag: str, attrs: str) -> bool:
+def _boiler(tag: str, attrs: str) -> str:
+    """``sure`` for boilerplate by its tag, state or name; ``doubtful`` if only part of a name says so."""
     if tag in DROP_TAGS:
-        return True
+        return "sure"
     if not attrs or tag in ("html", "body"):
-        return False
+        return ""
+    found = ""
     for m in ATTR.finditer(attrs):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
+            return "sure"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "sure"
         if name in ("class", "id"):
             for one in value.split():
                 parts = [x for x in re.split(r"[-_:]+", one) if x]
@@ -99,17 +105,19 @@ def _is_boiler(tag: str, attrs: str) -> bool:
                     continue
                 if tag in ("article", "main"):
                     if parts[0] in ("comment", "comments", "reply", "teaser", "related", "promo", "ad"):
-                        return True
+                        return "sure"
                 elif parts[0] in HINTS or parts[-1] in HINTS:
-                    return True
-    return False
+                    if any(x in HINTS and (x not in DOUBTFUL or len(parts) == 1) for x in (parts[0], parts[-1])):
+                        return "sure"
+                    found = "doubtful"
+    return found
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order with the features of the first pass."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
-    boiler = article = main = links = 0
+    stack: list[tuple[str, str]] = []
+    boiler = doubts = article = main = links = 0
     text: list[str] = []
     link_chars, heading = 0, False
 
@@ -119,7 +127,7 @@ def blocks(html: str) -> list[Block]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                out.append(Block(whole, min(link_chars, len(whole)), boiler > 0, article, main, heading))
+                out.append(Block(whole, min(link_chars, len(whole)), boiler > 0, article, main, heading, doubts > 0))
         link_chars, heading = 0, False
 
     def add(raw: str) -> None:
@@ -131,10 +139,12 @@ def blocks(html: str) -> list[Block]:
                 link_chars += len(" ".join(said.split()))
 
     def pop(to: int) -> None:
-        nonlocal boiler, article, main, links
+        nonlocal boiler, doubts, article, main, links
         while len(stack) > to:
-            tag, bad = stack.pop()
+            tag, said = stack.pop()
+            bad = said == "sure"
             boiler -= bad
+            doubts -= said == "doubtful"
             article -= tag == "article" and not bad
             main -= tag == "main" and not bad
             links -= tag == "a"
@@ -166,9 +176,11 @@ def blocks(html: str) -> list[Block]:
                         pop(i)
                     break
         elif tag not in VOID_TAGS and not m[4].rstrip().endswith("/"):
-            bad = _is_boiler(tag, m[4])
-            stack.append((tag, bad))
+            said = _boiler(tag, m[4])
+            bad = said == "sure"
+            stack.append((tag, said))
             boiler += bad
+            doubts += said == "doubtful"
             article += tag == "article" and not bad
             main += tag == "main" and not bad
             links += tag == "a"
@@ -181,24 +193,33 @@ def blocks(html: str) -> list[Block]:
 
 
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
-    """Label blocks ``good`` or ``bad`` in place, by their own features and then by context."""
+    """Label blocks ``good`` or ``bad`` in place, by their own features and then by context.
+
+    In an article prose of some length is good by its stop words; short blocks, those without stop words, and a
+    paragraph that is one link are left to their neighbours; runs of links are bad.  Under a doubtful name
+    only prose is left to its neighbours.  Elsewhere prose must be long and dense.
+    """
     live = [b for b in found if not b.boiler]
     by_article = any(b.depth_article for b in live)
     by_main = not by_article and any(b.depth_main for b in live)
     rooted = by_article or by_main
-    for b in found:
+    linked = [b.link_density > rules.links for b in found]
+    for i, b in enumerate(found):
         inside = b.depth_article > 0 if by_article else b.depth_main > 0
         if b.boiler or (rooted and not inside):
             b.label = "bad"
-        elif b.link_density > rules.links and not (rooted and b.heading):
-            b.label = "bad"
+        elif linked[i]:
+            alone = not any(linked[max(0, i - 1) : i] + linked[i + 1 : i + 2])
+            b.label = "short" if rooted and (b.heading or alone) and not b.doubtful else "bad"
+        elif b.doubtful:
+            b.label = "short" if rooted and b.stop_density >= rules.stop_high else "bad"
         elif not rooted and NOTICE.match(b.text):
             b.label = "bad"
         elif len(b.text) < rules.short:
             b.label = "short"
-        elif b.stop_density >= rules.stop_high and len(b.text) >= rules.long:
+        elif b.stop_density >= (rules.stop_low if rooted else rules.stop_high) and (rooted or len(b.text) >= rules.long):
             b.label = "good"
-        elif rooted or b.stop_density >= rules.stop_low:
+        elif not rooted and b.stop_density >= rules.stop_low:
             b.label = "near"
         else:
             # no prose of a known language, but no links either: its neighbours decide

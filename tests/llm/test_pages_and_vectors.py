@@ -37,6 +37,42 @@ def test_rules_find_the_article_without_its_tags(spark):
     assert precision > 0.95 and recall > 0.9
 
 
+PROSE = "The river was high in the spring of that year, and it was not until the end of May that the farmers of the valley could go back to their fields. "
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    ('<p class="share-price">The share price rose by a tenth in the week.</p>', "The share price rose by a tenth in the week."),
+    ('<section class="alert-levels"><p>There are four levels of alert, and they are set by the state.</p></section>', "There are four levels of alert, and they are set by the state."),
+    ('<p><a href="/x">The report of the committee in full</a></p>', "The report of the committee in full"),
+    ('<div class="share-buttons"><a href=a>Mail</a> <a href=b>Print</a></div>', ""),
+    ('<div class="share">Tell the others of it on all of the networks.</div>', ""),
+    ('<ul><li><a href=a>One more of the same</a></li><li><a href=b>And this is another</a></li></ul>', ""),
+    ('<div class="comment-list"><p>I was there and it is not at all as you say it was.</p></div>', ""),
+    ('<div class="ad-slot"><p>This is the best of all the offers that there are in the shop.</p></div>', ""),
+    ("<h2>Flood</h2>", "Flood"), ("<p>Kwx zzyk qqrt vvnm.</p>", "Kwx zzyk qqrt vvnm."), ("<p>12.5</p>", "12.5"),
+])
+def test_the_rules_decide_inside_an_article(inside, want):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>{PROSE}</p>{inside}<p>{PROSE}</p></article><footer>&copy; of us</footer></body></html>"
+    assert main_text(page) == " ".join(x for x in ["Title of it", PROSE.strip(), want, PROSE.strip()] if x)
+
+
+def test_whole_pages_against_hand_made_truth():
+    """Title and paragraphs of an article with notices, forms, comments and adverts about and in it."""
+    page = f"""<!doctype html><body class="no-sidebar"><div id="cookie-notice">We use the cookies of all of our partners.</div><header><h1>The Paper</h1></header>
+    <main><div class="banner">Buy the new one.</div><article class="post with-sidebar"><h1>Flood &amp; field</h1><p>{PROSE}<p>Short one.<p class="pull-quote">It was not to be.</p>
+    <aside>See also the rest.</aside><div class="newsletter-signup"><p>Get all of the news in your mail.</p><form><input name=q> Search</form></div><table><tr><td>1901</td><td>2.5 m</td></tr></table>
+    <p>{PROSE}</p><section id="comments"><p>{PROSE}</p></section></article><div class="related"><p>{PROSE}</p></div></main><footer>&copy; {PROSE}</footer></body>"""
+    assert main_text(page) == f"Flood & field {PROSE}Short one. It was not to be. 1901 2.5 m {PROSE}".strip()
+
+
+def test_rules_decide_most_blocks(spark):
+    """On the given pages no block of an article is good but for its words or its neighbours."""
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    live = [b for h in rows for b in blocks(h) if not b.boiler and b.depth_article]
+    dense = sum(len(b.text) >= Rules().short and b.stop_density >= Rules().stop_low for b in live)
+    assert 0.1 * len(live) < dense < len(live)
+
+
 def test_pages_without_an_article_go_by_the_rules():
     good = "the cat and the dog are in the house and it was for the best that they have come to this " * 4
     html = f"<div><a href=x>one link here</a></div><p>{good}</p><p>near it</p><p>{good}</p><div><a>a</a> <a>b</a></div>"
