@@ -275,7 +275,7 @@ def regex_run_lengths(pattern: str) -> str:
         while units[i] not in "()[]{}" and j < len(units) and units[j] == units[i]:
             j += 1
         # the last of a run keeps its own quantifier
-        n = j - i - (j - i > 1 and j < len(units) and units[j] == "{")
+        n = j - i - (j - i > 1 and j < len(units) and units[j] in ("{", "?", "*", "+"))
         out.append(units[i] if n == 1 else f"{units[i]}{{{n}}}")
         i += n
     return "".join(out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillshift.functions import text as T
 from quillshift.functions.positions import Abs, Edge, extract_column, valid_cut
-from quillshift.operators import alignment, cluster, hierarchy, metrics, propagate, relational, spanning
+from quillshift.operators import alignment, automata, cluster, hierarchy, metrics, propagate, relational, spanning
 from quillshift.operators.metric import Metric
 from quillshift.plans.model import Config, fit
 from quillshift.plans.providers import PatternProvider
@@ -848,3 +848,18 @@ def forest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum spanning forest of the vectors."""
     made = spanning.spanning_forest(table(spark, sf_dir, "embeddings"), 2.0)
     return made.select("a", "b", F.round("d", 9).alias("d"))
+
+
+_KINDS = "SELECT 'priority' AS kind, o_orderpriority AS t FROM orders UNION ALL SELECT 'name', c_name FROM customer UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'url', url FROM pages UNION ALL SELECT 'type', event_type FROM events"
+
+
+@query(f"WITH s AS ({_KINDS}) SELECT a.kind, b.kind AS of, count(*) AS n, count(*) FILTER (a.kind = b.kind) AS matched FROM (SELECT DISTINCT kind FROM s) a, s b GROUP BY ALL")
+def group_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions induced from five kinds of strings, each held against all of them: it matches its own and no other."""
+    some = {"priority": ("orders", "o_orderpriority"), "name": ("customer", "c_name"), "brand": ("part", "p_brand"), "url": ("pages", "url"), "type": ("events", "event_type")}
+    each = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, (t, c) in some.items()]
+    rows = reduce(DataFrame.unionByName, each)
+    # an expression for each kind
+    held = rows.withColumnRenamed("kind", "of").join(F.broadcast(automata.group_expressions(rows, "kind", "t")))
+    hit = F.regexp(F.col("t"), F.concat(F.lit("(?U)"), F.col("regex")))
+    return held.groupBy("kind", "of").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("matched"))
