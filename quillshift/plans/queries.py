@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +13,10 @@ from quillshift.functions import text as T
 from quillshift.functions.positions import Abs, Edge, extract_column, valid_cut
 from quillshift.operators import alignment, automata, cluster, hierarchy, metrics, propagate, relational, spanning
 from quillshift.operators.metric import Metric
+from quillshift.plans import labels
 from quillshift.plans.model import Config, fit
 from quillshift.plans.providers import PatternProvider
+from quillshift.sources.shared import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -863,3 +866,20 @@ def group_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.withColumnRenamed("kind", "of").join(F.broadcast(automata.group_expressions(rows, "kind", "t")))
     hit = F.regexp(F.col("t"), F.concat(F.lit("(?U)"), F.col("regex")))
     return held.groupBy("kind", "of").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("matched"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN '[long]' ELSE '[short]' END || CASE WHEN contains(text, chr(10)) THEN '[lines]' ELSE '' END AS composition FROM conversations")
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns labelled through a store of replies: the second pass finds all of them there."""
+
+    def service(prompts: list[str]) -> list[str]:
+        asked = [labels.prompt_query(p) for p in prompts]
+        return [f"[{'long' if len(t) > 300 else 'short'}]" + "[lines]" * ("\n" in t) for t in asked]
+
+    def closed(prompts: list[str]) -> list[str]:
+        raise ConnectionError("all is known by now")
+
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    rows, shown = table(spark, sf_dir, "conversations"), [("a", "[short]"), ("b c", "[short]")]
+    labels.label_rows_once(rows, service, shown, store, "text")
+    return labels.label_rows_once(rows, closed, shown, store, "text").select("conv_id", "turn", "composition")
