@@ -1,6 +1,8 @@
 """Token alignment, decontamination and the prefix trie against plain versions."""
 
+import bisect
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -39,13 +41,17 @@ def plain_alignment(docs):
         if not text or any(b"".join(p) != raw for p in parts):
             made.append((doc_id, [], [], [], ""))
             continue
-        ends = [[len(b"".join(p[: k + 1])) for k in range(len(p))] if len(p) < 300 else _running(p) for p in parts]
+        ends = [list(itertools.accumulate(map(len, p))) for p in parts]
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        groups, own = [], []
-        for low, high in zip([0, *cuts], cuts, strict=False):
-            groups.append("|".join(",".join(str(i) for i, e in zip(ids[k], ends[k], strict=True) if low < e <= high) for k in (0, 1)))
-        for i, e in zip(ids[0], ends[0], strict=True):
-            own += [(i, j) for j, f in zip(ids[1], ends[1], strict=True) if e == f] if e in set(cuts) else []
+        groups = [([], []) for _ in cuts]
+        for k in (0, 1):
+            for i, e in zip(ids[k], ends[k], strict=True):
+                groups[bisect.bisect_left(cuts, e)][k].append(str(i))
+        groups = ["|".join(",".join(half) for half in g) for g in groups]
+        at = defaultdict(list)
+        for j, f in zip(ids[1], ends[1], strict=True):
+            at[f].append(j)
+        own = [(i, j) for i, e in zip(ids[0], ends[0], strict=True) for j in at[e]]
         links.update(own)
         made.append((doc_id, ids[0], ids[1], own, hashlib.sha256(";".join(groups).encode()).hexdigest(), len(groups)))
     top = defaultdict(int)
@@ -56,14 +62,6 @@ def plain_alignment(docs):
     )
 
 
-def _running(parts):
-    out, n = [], 0
-    for p in parts:
-        n += len(p)
-        out.append(n)
-    return out
-
-
 ODD = [(1, "Hello world, hello <|endoftext|> </s> world"), (2, None), (3, ""), (4, "tab\tand  spaces \n\n new ▁ line"), (5, "naïve 中文 🙂👍🏽 é"), (6, "Hello world, hello"), (6, "Hello world, hello"), (None, " lead and trail "), (8, "x" * 3000 + " end"), (9, " 　 wide"), (10, "\x00\x01 <0x41>")]
 
 
