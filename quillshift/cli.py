@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillshift.functions.text import hashed_vector
 from quillshift.operators.cluster import cluster
 from quillshift.operators.metrics import accuracy, runtime_matrix
 from quillshift.plans.model import Config, fit
@@ -29,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--split-prompts", action="store_true", help="take components from {dataset}_split_prompt.txt of that folder")
     p.add_argument("--clusters", help="a folder of {dataset}_cluster.txt cluster truth; surface formats otherwise")
     p.add_argument("--operators", help="a folder of {dataset}_op.txt programs of given rows; induced ones otherwise")
-    p.add_argument("--strategy", choices=("collapse", "composition"), default="collapse", help="how rows are clustered without cluster truth")
+    p.add_argument("--strategy", choices=("collapse", "composition", "collapse_embedding", "collapse_split", "embedding", "embedding_collapse"), default="collapse", help="how rows are clustered without cluster truth; embeddings are hashed n-grams unless the data has some")
     p.add_argument("--further", action="store_true", help="split input components again that the outputs take apart")
     p.add_argument("--order", choices=("precedence", "most", "least"), default="precedence", help="how output components are ordered")
     p.add_argument("-c", "--coverage", choices=("off", "max"), default="max")
@@ -69,7 +70,7 @@ def run_dataset(
     """
     by = None
     if clusters is None and strategy != "collapse":
-        clusters = cluster(rows, strategy)
+        clusters = cluster(rows if "embedding" in rows.columns else rows.withColumn("embedding", hashed_vector(F.col("input"))), strategy)
     if clusters is not None:
         by, rows = "cluster_id", rows.join(clusters.select("row_id", "cluster_id"), "row_id", "left")
     model = fit(rows, provider, outputs, examples, config=config, by=by, operators=operators, further=further, order_by=order_by)

@@ -270,10 +270,10 @@ def propagated_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- end to end
 
 
-def fitted(df: DataFrame, id_col: str, text: str, output: Column, patterns: list[str], out_patterns: list[str], k: int = 5) -> DataFrame:
+def fitted(df: DataFrame, id_col: str, text: str, output: Column, patterns: list[str], out_patterns: list[str], k: int = 5, distinct: bool = False) -> DataFrame:
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text).alias("input"), output.alias("output"))
     model = fit(rows, PatternProvider(patterns), PatternProvider(out_patterns), k, config=Config())
-    return model.transform(rows)
+    return model.transform(rows, distinct=distinct)
 
 
 URL_PARTS = [r"(?P<scheme>[a-z]+)://(?P<host>[^/?#]+)"]
@@ -299,7 +299,7 @@ def name_reorder_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, substr(o_orderpriority, 3) || ' (' || substr(o_orderpriority, 1, 1) || ')' AS priority FROM orders")
 def priority_reformat_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.concat(F.expr("substr(o_orderpriority, 3)"), F.lit(" ("), F.expr("substr(o_orderpriority, 1, 1)"), F.lit(")"))
-    made = fitted(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority", known, [r"(?P<level>\d)-(?P<word>.+)"], [r"(?P<word>.+) \((?P<level>\d)\)"], 8)
+    made = fitted(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority", known, [r"(?P<level>\d)-(?P<word>.+)"], [r"(?P<word>.+) \((?P<level>\d)\)"], 8, distinct=True)
     return made.select(F.col("row_id").alias("o_orderkey"), F.col("transformation").alias("priority"))
 
 
@@ -780,7 +780,7 @@ def resolved_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.concat(F.expr("substr(o_orderpriority, 3)"), F.lit(" ("), F.expr("substr(o_orderpriority, 1, 1)"), F.lit(")"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("row_id"), F.col("o_orderpriority").alias("input"), known.alias("output"))
     parts = PatternProvider([r"(?P<level>\d)-(?P<word>.+)"]), PatternProvider([r"(?P<word>.+) \((?P<level>\d)\)"])
-    made = fit(rows, *parts, 8, order_by="most").transform_resolved(rows)
+    made = fit(rows, *parts, 8, order_by="most").transform_resolved(rows, distinct=True)
     return made.select(F.col("row_id").alias("o_orderkey"), F.col("transformation").alias("priority"))
 
 
@@ -883,3 +883,18 @@ def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, shown = table(spark, sf_dir, "conversations"), [("a", "[short]"), ("b c", "[short]")]
     labels.label_rows_once(rows, service, shown, store, "text")
     return labels.label_rows_once(rows, closed, shown, store, "text").select("conv_id", "turn", "composition")
+
+
+@query(f"SELECT conv_id, turn, dense_rank() OVER (ORDER BY {_collapse_sql('text')}, role) - 1 AS cluster_id FROM conversations")
+def composition_clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format and label composition of whole turns."""
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("row"), "role", "text")
+    return cluster.cluster(c, "composition", "row", "text", labels="role").select("row.conv_id", "row.turn", "cluster_id")
+
+
+@query("SELECT a.page_id, b.page_id AS other FROM pages a JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/[^/]{1,3}') AS p FROM pages) b ON b.p <> '' AND starts_with(a.url, b.p)")
+def prefixes_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that begin with the host and the first letters of the path of another: prefixes as many as rows."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    begins = p.select(F.col("page_id").alias("other"), F.regexp_extract("url", "^[a-z]+://[^/]+/[^/]{1,3}", 0).alias("prefix")).filter("prefix <> ''")
+    return relational.prefix_join(p, begins, "url", "prefix").select("page_id", "other")

@@ -1,6 +1,8 @@
 import sys
 import types
 
+import pytest
+
 
 
 from quillshift import cli
@@ -80,6 +82,13 @@ def test_cli(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "transformations")).count() == 7
 
 
+@pytest.mark.parametrize("strategy", ["collapse_embedding", "embedding"])
+def test_cli_with_strategies(spark, tmp_path, strategy):
+    (tmp_path / "pets.csv").write_text("".join(f"{a} {n},{n}\n" for n, a in enumerate(["cat", "dog", "owl", "emu", "ant", "bee", "cod", "eel"], 10)))
+    got = cli.main([str(tmp_path / "pets.csv"), "-k", "3", "--strategy", strategy], lambda: spark)
+    assert [(name, status) for name, _, status in got] == [("pets", "ok")] and got[0][1] == 1.0
+
+
 def test_cli_with_given_clusters_and_programs(spark, tmp_path):
     pairs = [("ab-1", "1 ab"), ("cd-2", "2 cd"), ("ef-3", "3 ef"), ("gh-44", "44 gh"), ("ij-5", "5 ij"), ("kl-6", "6 kl"), ("mn-77", "77 mn")]
     data = write(tmp_path / "d" / "Flip.csv", "".join(f"{a},{b}\n" for a, b in pairs))
