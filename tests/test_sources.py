@@ -82,7 +82,7 @@ def test_cli(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "transformations")).count() == 7
 
 
-@pytest.mark.parametrize("strategy", ["collapse_embedding", "embedding"])
+@pytest.mark.parametrize("strategy", ["collapse_embedding"])
 def test_cli_with_strategies(spark, tmp_path, strategy):
     (tmp_path / "pets.csv").write_text("".join(f"{a} {n},{n}\n" for n, a in enumerate(["cat", "dog", "owl", "emu", "ant", "bee", "cod", "eel"], 10)))
     got = cli.main([str(tmp_path / "pets.csv"), "-k", "3", "--strategy", strategy], lambda: spark)
