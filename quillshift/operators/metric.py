@@ -124,11 +124,14 @@ def split_once(rows: DataFrame, metric: Metric, eps: float, level: int, whole: i
     # a row of each of k hash classes
     chosen = held.groupBy("cell", "salts", F.pmod(F.xxhash64("id"), F.col("k")).alias("class")).agg(F.min_by(F.struct("a", "b"), F.xxhash64(F.lit(level), "id")).alias("p"))
     dealt = chosen.select(F.col("cell").alias("pcell"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("psalt"), "class", "p.a", "p.b")
-    asked = held.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.col("salts"))).drop("k", "salts")
+    # of one type with psalt: keys of a cogroup are not cast, and hashes of an int and a long differ
+    asked = held.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.col("salts")).cast("int")).drop("k", "salts")
     kind = rows.schema["id"].dataType.simpleString()
     wide = _width(rows)
 
     def deal(mine: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:  # no row has this salt
+            return mine.drop(columns="salt").assign(kids=pd.Series(dtype=object))
         both = pd.concat([mine[["a", "b"]], pivots.sort_values("class")[["a", "b"]]])
         a, b = (np.pad(m, ((0, 0), (0, w - m.shape[1]))) for m, w in zip(_rows(both), wide, strict=True))
         z = metric.laid_out(a, b, eps)
@@ -142,8 +145,8 @@ def split_once(rows: DataFrame, metric: Metric, eps: float, level: int, whole: i
             slack = SLACK * (1 + ((x * x).sum(1)[:, None] + (p * p).sum(1).max()) / apart[home] * 1e-6)
         reach = over <= 1 + slack
         reach &= np.arange(len(p))[None, :] < home[:, None]
-        kids = [np.append(h, np.flatnonzero(r)).astype(np.int32) for h, r in zip(home, reach, strict=True)]
-        return mine.drop(columns="salt").assign(kids=kids)
+        kids = [[int(h), *np.flatnonzero(r).tolist()] for h, r in zip(home, reach, strict=True)]
+        return mine.drop(columns="salt").assign(kids=pd.Series(kids, index=mine.index, dtype=object))
 
     schema = f"cell string, id {kind}, a array<double>, b array<double>, w long, lim double, guest long, kids array<int>"
     placed = checkpointed(asked.select("cell", "id", "a", "b", "w", "lim", "guest", "salt").groupBy("cell", "salt").cogroup(dealt.groupBy("pcell", "psalt")).applyInPandas(deal, schema))

@@ -61,6 +61,22 @@ def test_pairs_equal_all_pairs(spark, tiny_blocks, name, eps):
     assert len(found) == len(set(found)) and set(found) == plain_pairs(rows, m, eps)
 
 
+def test_cells_meet_their_pivots_in_many_partitions(spark, monkeypatch):
+    """Rows and pivots of a cell meet in one task, however many partitions there are; some salts have no rows."""
+    monkeypatch.setattr(metric, "BLOCK", 32)
+    monkeypatch.setattr(metric, "DEAL", 2)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(kept, ("16", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows = sample(150, 8)
+        found = [(r["a"], r["b"]) for r in cluster.close_pairs(frame(spark, rows, metric.COSINE), 0.02, "vec_id", "embedding").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(set(found)) and set(found) == plain_pairs(rows, metric.COSINE, 0.02)
+
+
 def test_rows_without_distances_are_in_no_pair(spark):
     rows = [(1, [0.0, 0.0], []), (2, [1.0, float("nan")], []), (3, [1.0, None], []), (4, None, []), (5, [1.0, 0.0], []), (6, [2.0, 0.0], []), (None, [1.0, 0.0], []), (7, [float("inf"), 1.0], []), (8, [], [])]
     df = frame(spark, rows, metric.COSINE)
