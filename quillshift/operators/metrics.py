@@ -106,10 +106,13 @@ def means_by(df: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def best_columns(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """(row, column, value) of each row's highest value, the first column by name on ties."""
-    top = df.groupBy(row).agg(F.max(value).alias("_top"))
-    best = top.join(df, row).filter(F.col(value) == F.col("_top")).groupBy(row, "_top").agg(F.min(column).alias("_c"))
-    return best.select(row, F.col("_c").alias(column), F.col("_top").alias(value))
+    """(row, column, value) of each row's highest value, the first column by name on ties; missing values and names last.
+
+    The table is read once: means that are made twice can differ in their last bits, and a join on them loses rows.
+    """
+    place = F.struct(F.col(value).isNull().alias("none"), (~F.isnan(F.col(value).cast("double"))).alias("number"), (-F.col(value)).alias("down"), F.col(column).isNull().alias("last"), F.col(column).alias("name"))
+    best = df.groupBy(row).agg(F.min_by(F.struct(column, value), place).alias("_b"))
+    return best.select(row, F.col(f"_b.{column}").alias(column), F.col(f"_b.{value}").alias(value))
 
 
 def best_v_measures(preds: DataFrame, truths: DataFrame, on: str, pred_name: str, pred: str, truth_name: str, truth: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,16 @@ def test_numbers_follow_the_order(spark):
 def test_label_counts_are_those_of_dbscan(vecs):
     xs = [0.003, 0.02, 0.3, 1.0]
     assert cluster.label_counts(vecs, xs).first()["counts"] == [cluster.dbscan(vecs, x, 2).select("label").distinct().count() for x in xs]
+
+
+def test_best_columns_read_their_values_once(spark):
+    """Values that come out otherwise each time they are made, as sums of doubles can, lose no rows."""
+
+    @F.udf("double")
+    def drawn(_):
+        return random.random()
+
+    made = spark.range(12).select((F.col("id") % 4).alias("r"), (F.col("id") % 3).cast("string").alias("c"), drawn.asNondeterministic()("id").alias("v"))
+    assert sorted(x["r"] for x in metrics.best_columns(made, "r", "c", "v").collect()) == [0, 1, 2, 3]
+    held = spark.createDataFrame([(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "x", None), (3, "n", float("nan")), (3, "m", 9.0)], "r int, c string, v double")
+    assert sorted((x["r"], x["c"]) for x in metrics.best_columns(held, "r", "c", "v").collect()) == [(1, "a"), (2, "x"), (3, "n")]
