@@ -16,7 +16,7 @@ from quillshift.operators.metric import Metric
 from quillshift.plans import labels
 from quillshift.plans.model import Config, fit
 from quillshift.plans.providers import PatternProvider
-from quillshift.sources.shared import ensure_checkpoint_dir
+from quillshift.sources.shared import checkpointed, ensure_checkpoint_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,7 +820,7 @@ def resolved_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
     down, turned = F.reverse(digits), F.concat(F.slice(digits, 6, 5), F.slice(digits, 1, 5))
     picked = propagate.resolved_parts(F.col("c_name"), F.array(down, digits, turned, down))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(picked, "").alias("picked"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", F.array_join(picked, "").alias("picked"))
 
 
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '^[\p{L}\p{N}]+'), '') AS word FROM documents")
@@ -861,11 +861,12 @@ def group_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions induced from five kinds of strings, each held against all of them: it matches its own and no other."""
     some = {"priority": ("orders", "o_orderpriority"), "name": ("customer", "c_name"), "brand": ("part", "p_brand"), "url": ("pages", "url"), "type": ("events", "event_type")}
     each = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, (t, c) in some.items()]
-    rows = reduce(DataFrame.unionByName, each)
+    # each distinct string is held against the expressions once, and counts as often as it stands there
+    rows = checkpointed(spread(reduce(DataFrame.unionByName, each).groupBy("kind", "t").agg(F.count(F.lit(1)).alias("copies"))))
     # an expression for each kind
     held = rows.withColumnRenamed("kind", "of").join(F.broadcast(automata.group_expressions(rows, "kind", "t")))
     hit = F.regexp(F.col("t"), F.concat(F.lit("(?U)"), F.col("regex")))
-    return held.groupBy("kind", "of").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("matched"))
+    return held.groupBy("kind", "of").agg(F.sum("copies").alias("n"), F.sum(F.when(hit, F.col("copies")).otherwise(0)).alias("matched"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN '[long]' ELSE '[short]' END || CASE WHEN contains(text, chr(10)) THEN '[lines]' ELSE '' END AS composition FROM conversations")

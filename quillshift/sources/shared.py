@@ -37,3 +37,9 @@ def small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFra
     """``df``, marked for broadcasting if it has at most ``rows`` rows of ``size`` bytes as text, which is measured."""
     some = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return F.broadcast(df) if some[0] <= rows and some[1] <= size else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: rows that are small but dear to work on else come in few partitions, which are cut by bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
