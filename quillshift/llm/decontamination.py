@@ -9,13 +9,12 @@ holds more than a block and a bounded share of the windows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ _SPLIT = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Positions left free between two documents of a block, so that no match crosses; bounds ``slop``.
 GAP = 64
+#: From a term's positions to the next term's, more than any block has.
+APART = 1 << 40
 #: Windows that one task looks up in a block.
 SHARD = 8192
 
@@ -44,23 +45,23 @@ def words(text: Column) -> Column:
 
 def postings(block: int, doc_ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
     """The lists of one block, terms in order; the empty term lists the documents' starts."""
-    known: dict[bytes, int] = defaultdict(count().__next__)
-    flat, starts, sizes, at = [], [], [], 0
-    for text in texts:
-        found = (text or b"").translate(_SPLIT).split()
-        flat.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-        starts.append(at)
-        sizes.append(len(found))
-        at += len(found) + GAP
-    terms = sorted(known)
+    cleaned = pa.array([(t or b"").translate(_SPLIT).strip() for t in texts], pa.string())
+    parted = pc.ascii_split_whitespace(cleaned)
+    # a text without words gives one empty string
+    sizes = np.where(pc.equal(cleaned, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(parted).to_numpy())
+    flat = parted.flatten()
+    coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    by_rank = pc.sort_indices(coded.dictionary)
+    terms = coded.dictionary.take(by_rank)
     rank = np.empty(len(terms), np.int64)
-    rank[[known[t] for t in terms]] = np.arange(len(terms))
-    owner = rank[np.concatenate(flat)] if terms else np.empty(0, np.int64)
-    places = np.concatenate([np.arange(n) + s for n, s in zip(sizes, starts, strict=True)])
+    rank[by_rank.to_numpy()] = np.arange(len(terms))
+    owner = rank[coded.indices.to_numpy()]
+    starts = np.cumsum(sizes + GAP) - (sizes + GAP)
+    places = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     order = np.argsort(owner, kind="stable")
     counts = np.concatenate([[len(texts)], np.bincount(owner, minlength=len(terms))]).astype(np.int64)
     ends = np.cumsum(counts)
-    listed = np.concatenate([np.array(starts), places[order]])
+    listed = np.concatenate([starts, places[order]])
     steps = np.diff(listed, prepend=0)
     firsts = (ends - counts)[counts > 0]
     steps[firsts] = listed[firsts]
@@ -68,7 +69,7 @@ def postings(block: int, doc_ids: pa.Array, texts: list[bytes | None]) -> pa.Rec
     lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(steps.astype("<u4").tobytes())])
     rest = pa.nulls(len(terms))
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(counts), block)), pa.array(["", *(t.decode() for t in terms)], pa.string()), pa.array(counts.astype(np.int32)), lists,
+        pa.array(np.full(len(counts), block)), pa.concat_arrays([pa.array([""]), terms]), pa.array(counts.astype(np.int32)), lists,
         pa.concat_arrays([pa.ListArray.from_arrays([0, len(texts)], doc_ids), rest.cast(pa.list_(pa.int64()))]),
         pa.concat_arrays([pa.ListArray.from_arrays([0, len(texts)], pa.array(sizes, pa.int32())), rest.cast(pa.list_(pa.int32()))]),
     ], schema=_ARROW)
@@ -131,6 +132,46 @@ def _tables(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {t: places_of(p) for t, p in zip(pdf["term"], pdf["positions"], strict=True)}
 
 
+def windows_in_block(asks: pd.DataFrame, have: pd.DataFrame, slop: int) -> pd.DataFrame:
+    """(block, row, item, length, exact, near) of a block's lists ``have`` for the windows ``asks`` (block, item, length, bases, names, places).
+
+    The lists follow each other in one array, ``APART`` from term to term, so that the bases of all windows meet their next term in one search.
+    """
+    code = {t: i for i, t in enumerate(have["term"])}
+    lists = [places_of(p) for p in have["positions"]]
+    listed = np.concatenate([p + i * APART for i, p in enumerate(lists)])
+    starts = lists[code[""]]
+    # -1: a term that the block doesn't have; -2: the window has no such term
+    widest = max(map(len, asks["names"]))
+    terms, offsets = np.full((len(asks), widest), -2), np.zeros((len(asks), widest), np.int64)
+    for i, (names, places) in enumerate(zip(asks["names"], asks["places"], strict=True)):
+        terms[i, : len(names)] = [code.get(t, -1) for t in names]
+        offsets[i, : len(places)] = places
+    bases, window = np.concatenate(list(asks["bases"])).astype(np.int64), np.repeat(np.arange(len(asks)), [len(b) for b in asks["bases"]])
+    exact, tight = np.ones(len(bases), bool), np.zeros(len(bases), bool)
+    for j in range(widest):
+        term = terms[window, j]
+        asked = term * APART + bases + offsets[window, j]
+        over = listed[np.minimum(np.searchsorted(listed, asked), len(listed) - 1)] - asked
+        met, free = (term >= 0) & (over >= 0) & (over <= slop), term == -2
+        exact &= free | (over == 0)
+        tight |= met & (over == 0)
+        keep = met | free
+        bases, window, exact, tight = bases[keep], window[keep], exact[keep], tight[keep]
+    bases, window, exact = bases[tight], window[tight], exact[tight]
+    row = np.searchsorted(starts, bases + slop, side="right") - 1
+    at = bases - starts[row]
+    kinds, items = pd.factorize(asks["item"])
+    kind, length = kinds[window], asks["length"].to_numpy()[window]
+    order = np.lexsort((at, length, kind, row))
+    row, kind, length, at, exact = row[order], kind[order], length[order], at[order], exact[order]
+    new = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(kind, prepend=-1) | np.diff(length, prepend=-1))
+    block, out = asks["block"].iloc[0], []
+    for i, k in zip(new, [*new[1:], len(row)] if len(new) else [], strict=True):
+        out.append((block, row[i], items[kind[i]], length[i], np.unique(at[i:k][exact[i:k]]), np.unique(at[i:k])))
+    return pd.DataFrame(out, columns=["block", "row", "item", "length", "exact", "near"])
+
+
 def _by_block(asks: DataFrame, lists: DataFrame) -> PandasCogroupedOps:
     """Both by block and shard, the lists' keys renamed, as they may come from the same rows."""
     other = lists.select(F.col("block").alias("_b"), F.col("shard").alias("_s"), "term", "positions")
@@ -173,34 +214,11 @@ def find_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
         return pdf.assign(block=asks["block"].iloc[0] if len(asks) else 0, shard=asks["shard"].iloc[0] if len(asks) else 0)
 
     alive = checkpointed(_by_block(begun, needed).applyInPandas(start, "wid long, bases array<long>, block long, shard int"))
-    rest = alive.join(small(asked.drop("shard")), "wid")
-    terms = checkpointed(rest.select("block", "shard", F.explode(F.concat(F.array(F.lit("")), F.transform("terms", lambda x: x["term"]))).alias("term")).distinct())
+    rest = alive.join(small(asked.select("wid", "item", "length", F.col("terms.term").alias("names"), F.col("terms.place").alias("places"))), "wid")
+    terms = checkpointed(rest.select("block", "shard", F.explode(F.concat(F.array(F.lit("")), "names")).alias("term")).distinct())
     have = index.select("block", "term", "positions").join(small(terms), ["block", "term"])
 
-    def finish(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        known = _tables(have)
-        starts, found = known[""], []
-        for item, length, bases, ts in zip(asks["item"], asks["length"], asks["bases"], asks["terms"], strict=True):
-            bases = np.asarray(bases)
-            for x in ts:
-                bases = bases[_meet(bases, known[x["term"]], x["place"], slop)] if x["term"] in known else bases[:0]
-                if not len(bases):
-                    break
-            if not len(bases):
-                continue
-            hit = [_meet(bases, known[x["term"]], x["place"], 0) for x in ts]
-            exact, tight = np.logical_and.reduce(hit), np.logical_or.reduce(hit)
-            bases, exact = bases[tight], exact[tight]
-            row = np.searchsorted(starts, bases + slop, side="right") - 1
-            found.append(pd.DataFrame({"row": row, "item": item, "length": length, "at": bases - starts[row], "e": exact}))
-        block = asks["block"].iloc[0]
-        every = pd.concat(found).drop_duplicates().sort_values("at", kind="stable") if found else pd.DataFrame()
-        out = []
-        for (row, item, length), g in every.groupby(["row", "item", "length"], sort=True) if len(every) else ():
-            out.append((block, row, item, length, np.unique(g["at"][g["e"]]), np.unique(g["at"])))
-        return pd.DataFrame(out, columns=["block", "row", "item", "length", "exact", "near"])
-
-    made = _by_block(rest, have).applyInPandas(finish, "block long, row int, item string, length int, exact array<int>, near array<int>")
+    made = _by_block(rest, have).applyInPandas(lambda asks, have: windows_in_block(asks, have, slop), "block long, row int, item string, length int, exact array<int>, near array<int>")
     # shards may know the same item by other windows
     merged = made.groupBy("block", "row", "item", "length")
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)

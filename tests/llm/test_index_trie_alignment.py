@@ -9,6 +9,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import public_tokenizers as public
 import pyarrow as pa
 import pytest
@@ -141,6 +143,32 @@ def test_decontamination_equals_plain(spark, monkeypatch, slop, shard, window):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["near_items"]) for r in got) == plain_hits(docs, items, window, slop)
 
 
+def test_windows_of_a_block_are_met_together(monkeypatch):
+    """As many searches as a window has words, however many windows: found where a plain search finds them."""
+    texts = [None, "b a b c", "", "a b c a b x c", "c b a", "a b c"]
+    index = deco.postings(3, pa.array(range(len(texts)), pa.int64()), [t and t.encode() for t in texts]).to_pandas()
+    windows = [tuple(w) for n in (1, 2, 3) for w in itertools.product("abc", repeat=n)]
+    lists = dict(zip(index["term"], map(deco.places_of, index["positions"]), strict=True))
+    asks = pd.DataFrame([
+        {"block": 3, "item": " ".join(w), "length": len(w), "names": list(w), "places": list(range(len(w))), "bases": np.unique(lists[w[0]][:, None] - np.arange(3))} for w in [*windows, ("a", "z")]
+    ])
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    found = deco.windows_in_block(asks, index, 2)
+    assert len(calls) <= 4
+    made = {(r.row, r.item): (r.exact.tolist(), r.near.tolist()) for r in found.itertuples()}
+    want = {}
+    for row, text in enumerate(texts):
+        have = (text or "").split()
+        for w in windows:
+            at = lambda p, far: [any(have[q : q + 1] == [x] for q in range(max(0, p + k), p + k + far + 1)) for k, x in enumerate(w)]  # noqa: B023, E731
+            near = [p for p in range(-9, len(have)) if all(at(p, 2)) and any(at(p, 0))]
+            if near:
+                want[row, " ".join(w)] = ([p for p in near if all(at(p, 0))], near)
+    assert made == want and len(found) == len(made)
+    assert not len(deco.windows_in_block(asks.tail(1), index, 2))
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     some = deco.build_index(docs, scratch(spark, "i"))
