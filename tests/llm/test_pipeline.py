@@ -9,6 +9,7 @@ from test_documents import WORDS, brute_classes, brute_lines
 
 import corpus_pipeline
 from quillshift.llm import queries
+from quillshift.llm.common import compacted, connected_components
 from quillshift.llm.mixing import mix_sources
 from quillshift.llm.quality import score_quality
 from quillshift.llm.word_cache import WordEncoder
@@ -112,3 +113,15 @@ def test_stages_take_odd_and_empty_tables(spark, rows):
 def test_every_operator_has_a_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+
+
+def test_small_rounds_leave_few_files(spark):
+    """A loop keeps a small round in one partition, and more rows in more."""
+    pieces = spark.range(1000).repartition(50, "id")
+    assert compacted(pieces).rdd.getNumPartitions() == 1 and compacted(pieces, rows=100).rdd.getNumPartitions() == 10
+    assert compacted(pieces, rows=30).rdd.getNumPartitions() == 50
+    assert sorted(r["id"] for r in compacted(pieces, rows=100).collect()) == list(range(1000))
+    assert compacted(pieces.limit(0)).count() == 0
+    edges = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 4).alias("b")).repartition(40, "a")
+    roots = connected_components(edges)
+    assert roots.groupBy("comp").count().count() == 100
