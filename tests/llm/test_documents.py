@@ -503,6 +503,26 @@ def test_lines_that_differ_in_digits_alone(spark):
     assert sum(classes[2 * n] == classes[2 * n + 1] for n in range(30)) >= 30
 
 
+def test_no_link_is_missed_in_large_buckets(spark):
+    """300 pairs of lines in one boilerplate: most of what bands bring together is the boilerplate's, and other lines' pivots tell nothing."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 7))) for _ in range(4000)]
+    common, rows = " ".join(rng.choices(words, k=42)), []
+    for n in range(300):
+        tail = rng.choices(words, k=20)
+        for _ in (0, 1):
+            own = list(tail)
+            own[rng.randrange(20)] = rng.choice(words)
+            own[rng.randrange(20)] = rng.choice(words)
+            rows.append((len(rows), f"{common} {' '.join(own)}"))
+    grams = [{t[i : i + 8] for i in range(len(t) - 7)} for _, t in rows]
+    linked = [n for n in range(300) if len(grams[2 * n] & grams[2 * n + 1]) >= 0.8 * len(grams[2 * n] | grams[2 * n + 1])]
+    assert len(linked) > 100
+    classes = {r["doc_id"]: r["class_id"] for r in line_classes(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert [n for n in linked if classes[2 * n] != classes[2 * n + 1]] == []
+    assert len(set(classes.values())) >= 300
+
+
 def test_lines_under_other_names(spark):
     df = spark.createDataFrame([(1, "a line of some length\nanother one", "x"), (2, "A line of some length", "y")], "key long, body string, text string")
     out = {r["key"]: (r["body"], r["text"]) for r in drop_repeated_lines(df, id_col="key", text_col="body").collect()}
