@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillshift.llm import line_dedup
 from quillshift.llm.common import connected_components
 from quillshift.llm.exact_dedup import exact_dedup
 from quillshift.llm.jaccard_join import intersections, jaccard_classes, keep_one_of_each_class, shingles, sketch
@@ -523,6 +524,35 @@ def test_no_link_is_missed_in_large_buckets(spark):
     assert len(set(classes.values())) >= 300
 
 
+def test_large_buckets_compare_few_pairs(spark):
+    """82 lines about one text: two are linked, 80 lack a part each; their shingles are frequent, and compared pairs were 3,321."""
+    rng = random.Random(13)
+    random_text = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    base = random_text(600)
+    lines = [base[:at] + random_text(n) + base[at + n :] for at, n in [(100, 12), (400, 12)] + [(rng.randrange(510), 90) for _ in range(80)]]
+    grams = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines]
+    near = {(i, j) for i, j in itertools.combinations(range(82), 2) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    texts = spark.createDataFrame([(i, t, len(g)) for i, (t, g) in enumerate(zip(lines, grams))], "lid long, line string, size int")
+    crowd = texts.select(F.lit(1).alias("key"), "lid")
+    alone = texts.select("lid", F.col("lid").alias("comp"))
+    rarest = line_dedup._rarest(texts, 0.8).cache()
+    postings = rarest.select("lid", "size", F.explode("rarest").alias("r")).select("lid", "size", "r.n", "r.token")
+    pairs = line_dedup._by_rare(line_dedup._apart(postings, alone), 0.8).unionByName(line_dedup._by_bucket(crowd, rarest, alone, 0.8))
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert (0, 1) in near and near <= got and len(got) < len(near) + 300
+
+
+def test_counts_by_sectors_never_exceed_the_difference(spark):
+    rng = random.Random(17)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(300)] for _ in range(4)]
+    rows = [(sets[i], sets[i][: 300 - n] + sets[j][:n], 2 * n) for i, j in itertools.permutations(range(4), 2) for n in (0, 10, 100, 300)]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, differ int")
+    for c in ("x", "y"):
+        df = line_dedup.with_sectors(df, f"s{c}", F.col(c))
+    got = df.select("differ", line_dedup._differing("sx", "sy").alias("least"), F.aggregate("sx", F.lit(0), lambda s, x: s + x).alias("n")).collect()
+    assert all(r["least"] <= r["differ"] and r["n"] == 300 for r in got) and any(r["least"] > 100 for r in got)
+
+
 def test_lines_under_other_names(spark):
     df = spark.createDataFrame([(1, "a line of some length\nanother one", "x"), (2, "A line of some length", "y")], "key long, body string, text string")
     out = {r["key"]: (r["body"], r["text"]) for r in drop_repeated_lines(df, id_col="key", text_col="body").collect()}
