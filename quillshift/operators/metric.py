@@ -8,14 +8,18 @@ is compared as blocks of a matrix.  Every pair within the radius meets in exactl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillshift.sources.shared import checkpointed, small
 
@@ -23,6 +27,8 @@ from quillshift.sources.shared import checkpointed, small
 BLOCK = 1024
 #: Pivots of a cell at most.
 PIVOTS = 64
+#: Parts of one side that a task of the product holds, about a megabyte each.
+SIDE = 64
 #: Rows that one task deals to pivots.
 DEAL = 8192
 #: Rounding of distances, which are 1 at the radius.
@@ -60,13 +66,25 @@ class Metric:
         return np.concatenate(parts, axis=1)
 
     def between(self, a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
-        near, far = 0.0, 0.0
-        if self.share > 0:
-            near = 1 - (a @ a2.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(a2, axis=1)[None, :])
-        if self.share < 1:
-            # differences, not products: equal distances stay equal to the last bit
-            far = np.sqrt(sum(((b[:, d, None] - b2[None, :, d]) ** 2 for d in range(b.shape[1])), np.zeros((len(b), len(b2)))))
-        return self.share * near + (1 - self.share) * far
+        """Distances of all rows to all; ``a`` and ``a2`` are ``directions``."""
+        if self.share == 1:
+            near = a @ a2.T
+            return np.subtract(1, near, out=near)
+        # differences, not products: equal distances stay equal to the last bit
+        far = np.zeros((len(b), len(b2)))
+        for d in range(b.shape[1]):
+            far += (b[:, d, None] - b2[None, :, d]) ** 2
+        np.sqrt(far, out=far)
+        return self.share * (1 - a @ a2.T) + (1 - self.share) * far if self.share > 0 else far
+
+
+def directions(a: np.ndarray) -> np.ndarray:
+    """Unit vectors; rows of no numbers for vectors without a direction."""
+    if not a.shape[1]:
+        return a
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scaled = a / np.abs(a).max(axis=1)[:, None]
+        return scaled / np.linalg.norm(scaled, axis=1)[:, None]
 
 
 COSINE, EUCLIDEAN = Metric(1.0), Metric(0.0)
@@ -180,38 +198,123 @@ def compared_pairs(placed: DataFrame) -> int:
     return int(n or 0)
 
 
-def in_blocks(placed: DataFrame, see: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
-    """``see(left, right, same)`` for each pair of parts of each cell, a part having at most about ``BLOCK`` rows.
+@dataclass
+class Part:
+    """Rows of a cell, by their ids; ``a`` are directions, ``core`` is what the caller knows of each row."""
+
+    id: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    w: np.ndarray
+    lim: np.ndarray
+    guest: np.ndarray
+    core: np.ndarray | None
+
+    def __len__(self) -> int:
+        return len(self.id)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists as rows; shorter ones end in zeros."""
+    sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(sizes) or (sizes == sizes[0]).all():
+        return flat.reshape(len(sizes), -1) if len(flat) else np.zeros((len(sizes), 0))
+    return padded(np.split(flat, np.cumsum(sizes)[:-1]))
+
+
+def _part(rows: pa.StructArray) -> Part:
+    held = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+    ids = held["id"].to_numpy(zero_copy_only=False)
+    order = np.argsort(ids, kind="stable")
+    plain = lambda c: held[c].to_numpy(zero_copy_only=False)[order]
+    return Part(ids[order], directions(_matrix(held["a"])[order]), _matrix(held["b"])[order], plain("w"), plain("lim"), plain("guest"), plain("core") if "core" in held else None)
 
-    Within one part ``left`` and ``right`` are the same rows; a cell of one part is one task's block.
-    """
-    sizes = placed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("parts"))
-    held = placed.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = held.withColumn("m", F.explode(meets)).withColumns({"i": F.col("m.i"), "j": F.col("m.j")}).drop("m", "parts")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left = pdf[pdf["own"] == i]
-        return see(left, left if i == j else pdf[pdf["own"] == j], i == j)
+#: Rows of results that a task keeps before it folds them.
+FOLD = 1 << 20
+#: Bytes of parts that a task keeps as matrices.
+SEEN = 96 << 20
+#: Parts of a cell that one task may compare.
+FEW = 6
 
-    return dealt.groupBy("cell", "i", "j").applyInPandas(block, schema)
 
+def in_blocks(placed: DataFrame, see: Callable[[Part, Part, bool], pd.DataFrame], schema: str, fold: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """``see(left, right, same)`` for each pair of parts of each cell, a part having at most about ``BLOCK`` rows.
 
-def block_distances(metric: Metric, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
+    Within one part ``left`` and ``right`` are the same rows; a cell of one part is one block.  A part is one row of a table
+    that is written once; parts of larger cells meet in a product that reads them again, so nothing on disk grows with
+    the pairs.  ``fold`` makes fewer of the results that a task has so far.
+    """
+    sizes = placed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("parts"))
+    held = placed.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    row = F.struct(*[c for c in ("id", "a", "b", "w", "lim", "guest", "core") if c in placed.columns])
+    parts = checkpointed(held.groupBy("cell", "own", "parts").agg(F.collect_list(row).alias("rows")))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Part] = {}
+        kept: list[pd.DataFrame] = []
+
+        def part(cell: str, own: int, rows: pa.StructArray) -> Part:
+            if (cell, own) not in known:
+                if sum(x.a.nbytes + x.b.nbytes for x in known.values()) > SEEN:
+                    known.clear()
+                known[cell, own] = _part(rows)
+            return known[cell, own]
+
+        def out(some: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+            if some and sum(map(len, some)):
+                yield pa.RecordBatch.from_pandas(pd.concat(some)[names], schema=form, preserve_index=False)
+
+        for batch in batches:
+            cells, i, j = (batch.column(c).to_pylist() for c in ("cell", "i", "j"))
+            lefts, rights = batch.column("left"), batch.column("right")
+            for n, cell in enumerate(cells):
+                left = part(cell, i[n], lefts[n].values)
+                same = i[n] == j[n]
+                kept.append(see(left, left if same else part(cell, j[n], rights[n].values), same))
+                if sum(map(len, kept)) > FOLD:
+                    if fold is None:
+                        yield from out(kept)
+                        kept = []
+                    elif len(kept) > 1:
+                        kept = [fold(pd.concat(kept))]
+        yield from out([fold(pd.concat(kept))] if fold is not None and kept else kept)
+
+    form = to_arrow_schema(StructType.fromDDL(schema))
+    names = form.names
+    none = F.lit(None).cast(parts.schema["rows"].dataType)
+    done = parts.filter("parts = 1").select("cell", F.col("own").alias("i"), F.col("own").alias("j"), F.col("rows").alias("left"), none.alias("right")).mapInArrow(blocks, schema)
+    side = lambda which, own, rows: parts.filter(which).select("cell", F.col("own").alias(own), F.col("rows").alias(rows))
+    some, large = f"parts between 2 and {FEW}", f"parts > {FEW}"
+    pair = lambda left, right: left.join(right.withColumnRenamed("cell", "cell2"), (F.col("cell") == F.col("cell2")) & (F.col("i") <= F.col("j"))).select("cell", "i", "j", "left", "right")
+    few, many = parts.agg(F.count_if(F.expr(some)), F.count_if(F.expr(large))).first()
+    if few:
+        done = done.unionByName(pair(side(some, "i", "left"), side(some, "j", "right")).mapInArrow(blocks, schema))
+    if not many:
+        return done
+    # of the product of two parts half the pairs are blocks; a side of a task has about SIDE parts at most
+    cores = parts.sparkSession.sparkContext.defaultParallelism
+    k = min(many, max(-(-many // SIDE), math.ceil(math.sqrt(8 * cores))))
+    met = pair(side(large, "i", "left").repartition(k), side(large, "j", "right").repartition(k).hint("shuffle_replicate_nl"))
+    return done.unionByName(met.mapInArrow(blocks, schema))
+
+
+def block_distances(metric: Metric, left: Part, right: Part, same: bool) -> np.ndarray:
     """Distances of a block; infinite for a row itself, for pairs of another block, and undefined ones.
 
     Within one part only the half above the diagonal counts.
     """
-    (a, b), (a2, b2) = _rows(left), _rows(right)
-    fit = lambda x, y: (np.pad(x, ((0, 0), (0, max(0, y.shape[1] - x.shape[1])))), np.pad(y, ((0, 0), (0, max(0, x.shape[1] - y.shape[1])))))
-    (a, a2), (b, b2) = fit(a, a2), fit(b, b2)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        d = metric.between(a, b, a2, b2)
-    d[np.isnan(d)] = np.inf
-    guest, guest2 = left["guest"].to_numpy(), right["guest"].to_numpy()
-    d[(guest[:, None] & guest2[None, :]) != 0] = np.inf
-    d[d > left["lim"].to_numpy()[:, None]] = np.inf
+    fit = lambda x, y: np.pad(x, ((0, 0), (0, max(0, y.shape[1] - x.shape[1])))) if x.shape[1] < y.shape[1] else x
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        d = metric.between(fit(left.a, right.a), fit(left.b, right.b), fit(right.a, left.a), fit(right.b, left.b))
+    for side, at in ((left, lambda x: (x, slice(None))), (right, lambda x: (slice(None), x))):
+        odd = ~np.isfinite(side.a).all(1)
+        if odd.any():
+            d[at(odd)] = np.inf
+    if left.guest.any() and right.guest.any():
+        d[(left.guest[:, None] & right.guest[None, :]) != 0] = np.inf
+    if np.isfinite(left.lim).any():
+        d[d > left.lim[:, None]] = np.inf
     if same:
         d[np.tril_indices(len(d))] = np.inf
     return d
@@ -221,12 +324,12 @@ def pairs_within(placed: DataFrame, metric: Metric, eps: float) -> DataFrame:
     """(a, b, d) with a < b of all pairs at a distance of at most ``eps``."""
     kind = placed.schema["id"].dataType.simpleString()
 
-    def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def see(left: Part, right: Part, same: bool) -> pd.DataFrame:
         d = block_distances(metric, left, right, same)
         r, c = np.nonzero(d <= eps)
-        x, y = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        swap = x > y
-        return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "d": d[r, c]}).query("a != b")
+        x, y = left.id[r], right.id[c]
+        swap, other = x > y, x != y
+        return pd.DataFrame({"a": np.where(swap, y, x)[other], "b": np.where(swap, x, y)[other], "d": d[r, c][other]})
 
     return in_blocks(placed, see, f"a {kind}, b {kind}, d double")
 
@@ -235,80 +338,134 @@ def neighbour_weights(placed: DataFrame, metric: Metric, eps: float) -> DataFram
     """(id, others): the weights of the other rows within ``eps``, summed; rows without any are left out."""
     kind = placed.schema["id"].dataType.simpleString()
 
-    def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = block_distances(metric, left, right, same) <= eps
-        seen = [pd.DataFrame({"id": side["id"].to_numpy(), "others": n}) for side, n in ((left, near @ right["w"].to_numpy()), (right, left["w"].to_numpy() @ near))]
-        return pd.concat(seen).query("others > 0")
-
-    return in_blocks(placed, see, f"id {kind}, others long").groupBy("id").agg(F.sum("others").alias("others"))
-
-
-def forest(d: np.ndarray, ids: np.ndarray, ids2: np.ndarray, limit: float = np.inf) -> list[tuple]:
-    """Lightest edges (a, b, d) that join what the finite distances up to ``limit`` join; ties by ids."""
-    r, c = np.nonzero(d <= limit if np.isfinite(limit) else np.isfinite(d))
-    low, high = np.minimum(ids[r], ids2[c]), np.maximum(ids[r], ids2[c])
-    order = np.lexsort((high, low, d[r, c]))
-    root: dict = {}
-
-    def find(x):  # noqa: ANN001, ANN202
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out, open_ = [], len({*ids.tolist(), *ids2.tolist()}) - 1
-    for a, b, w in zip(low[order].tolist(), high[order].tolist(), d[r, c][order].tolist(), strict=True):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b, w))
-            open_ -= 1
-            if not open_:
-                break
-    return out
+    def see(left: Part, right: Part, same: bool) -> pd.DataFrame:
+        r, c = np.nonzero(block_distances(metric, left, right, same) <= eps)
+        of, to = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        np.add.at(of, r, right.w[c])
+        np.add.at(to, c, left.w[r])
+        return pd.DataFrame({"id": np.concatenate([left.id[of > 0], right.id[to > 0]]), "others": np.concatenate([of[of > 0], to[to > 0]])})
+
+    summed = lambda some: some.groupby("id", as_index=False)["others"].sum()
+    return in_blocks(placed, see, f"id {kind}, others long", summed).groupBy("id").agg(F.sum("others").alias("others"))
+
+
+def first_joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the edges, in order, that join what those before them don't; the lightest spanning forest if they are sorted.
+
+    In a round each component takes its first edge that leaves it.
+    """
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, at = both[: len(a)], both[len(a) :], np.arange(len(a))
+    root, taken = np.arange(len(nodes)), []
+    while True:
+        p, q = root[x], root[y]
+        some = p != q
+        if not some.any():
+            return np.sort(np.concatenate(taken)) if taken else np.empty(0, int)
+        x, y, at, p, q = x[some], y[some], at[some], p[some], q[some]
+        first = np.full(len(nodes), -1)
+        for end in (p, q):  # the last to be written stays
+            before = first.copy()
+            first[end[::-1]] = np.arange(len(end))[::-1]
+            first = np.where((before >= 0) & ((first < 0) | (before < first)), before, first)
+        have = np.flatnonzero(first >= 0)
+        e = first[have]
+        up = np.arange(len(nodes))
+        up[have] = np.where(p[e] == have, q[e], p[e])
+        # two components that take the same edge
+        ends = (up[up] == np.arange(len(nodes))) & (np.arange(len(nodes)) < up)
+        up[ends] = np.flatnonzero(ends)
+        taken.append(at[np.unique(e)])
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def lightest_edges(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    """(a, b, d): the minimum spanning forest of edges, ties by ids."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low, d))
+    kept = order[first_joining(low[order], high[order])]
+    return pd.DataFrame({"a": low[kept], "b": high[kept], "d": d[kept]})
+
+
+def forest(d: np.ndarray, ids: np.ndarray, ids2: np.ndarray, limit: float = np.inf) -> pd.DataFrame:
+    """Lightest edges (a, b, d) that join what the finite distances up to ``limit`` join; ties by ids, which are in order on both sides.
+
+    What is as near as the row or column whose nearest is the farthest is sorted, and mostly joins all; then each row and
+    column gives its nearest in another component.
+    """
+    open_ = np.where(d <= limit, d, np.inf)
+    rows, columns = open_.min(1, initial=np.inf), open_.min(0, initial=np.inf)
+    near = np.concatenate([rows[np.isfinite(rows)], columns[np.isfinite(columns)]])
+    if not len(near):
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "d": np.empty(0)})
+    r, c = np.nonzero(open_ <= near.max())
+    made = lightest_edges(ids[r], ids2[c], open_[r, c])
+    names = np.unique(np.concatenate([ids, ids2]))
+    mine, other = np.searchsorted(names, ids), np.searchsorted(names, ids2)
+    while True:
+        root = _roots(len(names), np.searchsorted(names, made["a"].to_numpy()), np.searchsorted(names, made["b"].to_numpy()))
+        open_[root[mine][:, None] == root[other][None, :]] = np.inf
+        c, r = open_.argmin(1), open_.argmin(0)
+        one, two = np.flatnonzero(np.isfinite(open_[np.arange(len(ids)), c])), np.flatnonzero(np.isfinite(open_[r, np.arange(len(ids2))]))
+        if not len(one):
+            return made
+        i, j = np.concatenate([one, r[two]]), np.concatenate([c[one], two])
+        # a component's lightest edges are in the forest; all of these together have no lighter way but through each other
+        more = _leaving(names, root, ids[i], ids2[j], open_[i, j])
+        made = pd.concat([made, more], ignore_index=True)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the least that the edges of a forest join it with."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low[root] == root).all():
+            return root
+        root = low[root]
+
+
+def _leaving(names: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    """Of edges between components the lightest of each component, ties by ids."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low, d))
+    low, high, d = low[order], high[order], d[order]
+    ends = np.concatenate([root[np.searchsorted(names, low)], root[np.searchsorted(names, high)]])
+    place = np.concatenate([np.arange(len(d))] * 2)
+    by = np.lexsort((place, ends))
+    first = by[np.concatenate([[True], ends[by][1:] != ends[by][:-1]])]
+    kept = np.unique(place[first])
+    return pd.DataFrame({"a": low[kept], "b": high[kept], "d": d[kept]})
 
 
 def core_links(placed: DataFrame, cores: DataFrame, metric: Metric, eps: float) -> DataFrame:
     """(a, b, core): links that join cores as all pairs of cores within ``eps`` do, and all pairs of another row ``a`` and a core ``b``.
 
-    A block gives the forest of its cores, so a dense cluster gives as many links as it has rows.
+    A task gives the forest of its cores, so a dense cluster gives as many links as it has rows.
     """
     kind = placed.schema["id"].dataType.simpleString()
     flagged = placed.join(cores.select("id", F.lit(True).alias("core")), "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
 
-    def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = block_distances(metric, left, right, same) <= eps
-        core, core2 = left["core"].to_numpy(bool), right["core"].to_numpy(bool)
-        ids, ids2 = left["id"].to_numpy(), right["id"].to_numpy()
-        out = _joined(near & core[:, None] & core2[None, :], ids, ids2)
-        for flags, x, y, turned in ((~core, core2, near, False), (~core2, core, near.T, True)):
-            r, c = np.nonzero(y & flags[:, None] & x[None, :])
-            mine, other = (ids2, ids) if turned else (ids, ids2)
-            out.append(pd.DataFrame({"a": mine[r], "b": other[c], "core": False}))
-        return pd.concat(out)
-
-    return in_blocks(flagged, see, f"a {kind}, b {kind}, core boolean")
-
-
-def _joined(near: np.ndarray, ids: np.ndarray, ids2: np.ndarray) -> list[pd.DataFrame]:
-    """A spanning forest of the pairs in ``near``, breadth first."""
-    left, right, out = near.any(1), near.any(0), []
-    while left.any():
-        rows = np.array([int(left.argmax())])
-        left[rows] = False
-        columns = np.empty(0, int)
-        while len(rows) or len(columns):
-            if len(rows):
-                reach = near[rows] & right[None, :]
-                new = np.flatnonzero(reach.any(0))
-                out.append(pd.DataFrame({"a": ids[rows[reach[:, new].argmax(0)]], "b": ids2[new], "core": True}))
-                right[new] = False
-                columns = new
-                rows = np.empty(0, int)
-            else:
-                reach = near[:, columns] & left[:, None]
-                new = np.flatnonzero(reach.any(1))
-                out.append(pd.DataFrame({"a": ids[new], "b": ids2[columns[reach[new].argmax(1)]], "core": True}))
-                left[new] = False
-                rows, columns = new, np.empty(0, int)
-    return out
+    def joined(some: pd.DataFrame) -> pd.DataFrame:
+        inner = some[some["core"].to_numpy(bool)]
+        a, b = inner["a"].to_numpy(), inner["b"].to_numpy()
+        kept = first_joining(a, b)
+        return pd.concat([pd.DataFrame({"a": a[kept], "b": b[kept], "core": True}), some[~some["core"].to_numpy(bool)]])
+
+    def see(left: Part, right: Part, same: bool) -> pd.DataFrame:
+        r, c = np.nonzero(block_distances(metric, left, right, same) <= eps)
+        core, core2, x, y = left.core.astype(bool)[r], right.core.astype(bool)[c], left.id[r], right.id[c]
+        both, of, to = core & core2, ~core & core2, core & ~core2
+        out = pd.DataFrame({
+            "a": np.concatenate([x[both], x[of], y[to]]), "b": np.concatenate([y[both], y[of], x[to]]),
+            "core": np.repeat([True, False], [both.sum(), of.sum() + to.sum()]),
+        })
+        return joined(out) if both.sum() > len(left) + len(right) else out
+
+    return in_blocks(flagged, see, f"a {kind}, b {kind}, core boolean", joined)

@@ -12,6 +12,9 @@ from quillshift.operators.components import components
 from quillshift.operators.metric import COSINE, Metric
 from quillshift.sources.shared import checkpointed
 
+#: Edges that one task joins.
+CHUNK = 500_000
+
 
 def core_distances(df: DataFrame, k: int, limit: float, id_col: str = "vec_id", vec: str = "embedding", by: Metric = COSINE) -> DataFrame:
     """(id, core): the distance to the ``k``-th nearest row, itself the first; rows with fewer within ``limit`` are left out.
@@ -24,21 +27,33 @@ def core_distances(df: DataFrame, k: int, limit: float, id_col: str = "vec_id",
     placed = metric.cells(rows, by, limit)
     kind = placed.schema["id"].dataType.simpleString()
 
-    def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def least(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and values of the ``k`` - 1 least of each row that are finite."""
+        n = min(k - 1, d.shape[1])
+        some = np.partition(d, n - 1, axis=1)[:, :n] if n else d[:, :0]
+        r, c = np.nonzero(np.isfinite(some))
+        return r, some[r, c]
+
+    def fewest(some: pd.DataFrame) -> pd.DataFrame:
+        ids, d = some["id"].to_numpy(), some["d"].to_numpy()
+        order = np.lexsort((d, ids))
+        ids, d = ids[order], d[order]
+        begins = np.concatenate([[True], ids[1:] != ids[:-1]])
+        place = np.arange(len(ids)) - np.maximum.accumulate(np.where(begins, np.arange(len(ids)), 0))
+        return pd.DataFrame({"id": ids[place < k - 1], "d": d[place < k - 1]})
+
+    def see(left: metric.Part, right: metric.Part, same: bool) -> pd.DataFrame:
         d = metric.block_distances(by, left, right, same)
-        d = np.where(d <= limit, d, np.inf)
+        if np.isfinite(limit):
+            d[d > limit] = np.inf
         if same:
             d = np.minimum(d, d.T)
-        out = []
-        for ids, m in ((left, d),) if same else ((left, d), (right, d.T)):
-            n = min(k - 1, m.shape[1])
-            least = np.sort(np.partition(m, n - 1, axis=1)[:, :n], axis=1)
-            out.append(pd.DataFrame({"id": ids["id"].to_numpy(), "near": [x[np.isfinite(x)] for x in least]}))
-        return pd.concat(out)
-
-    seen = metric.in_blocks(placed, see, f"id {kind}, near array<double>")
-    # lists of at most k - 1, kept to k - 1 by partial sums of a row's few blocks
-    merged = seen.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k - 1).alias("near"))
+        made = [(side.id[r], v) for side, (r, v) in ([(left, least(d))] if same else [(left, least(d)), (right, least(d.T.copy()))])]
+        return pd.DataFrame({"id": np.concatenate([x for x, _ in made]), "d": np.concatenate([v for _, v in made])})
+
+    seen = metric.in_blocks(placed, see, f"id {kind}, d double", fewest)
+    # lists of k - 1 from each task that saw the row
+    merged = seen.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k - 1).alias("near"))
     return merged.filter(F.size("near") == k - 1).select("id", F.element_at("near", k - 1).alias("core"))
 
 
@@ -65,20 +80,44 @@ def lightest(edges: DataFrame) -> DataFrame:
     return found.distinct() if found is not None else open_.select(F.col("a").cast(kind), F.col("b").cast(kind), "d")
 
 
+def _lightest(edges: pd.DataFrame) -> pd.DataFrame:
+    return metric.lightest_edges(edges["a"].to_numpy(), edges["b"].to_numpy(), edges["d"].to_numpy())
+
+
+def joined_forests(edges: DataFrame) -> DataFrame:
+    """The minimum spanning forest of an edge table: shares of ``CHUNK`` edges keep their own while that makes them fewer.
+
+    The one share that is left is the whole; if the forest is larger than a share, it is found in rounds.
+    """
+    held, schema = checkpointed(edges), edges.schema
+    n = held.count()
+    while n:
+        shares = -(-n // CHUNK)
+        one = held.withColumn("share", F.pmod(F.xxhash64("a", "b"), F.lit(shares)))
+        held = checkpointed(one.groupBy("share").applyInPandas(lambda x: _lightest(x), schema))
+        if shares == 1:
+            return held
+        before, n = n, held.count()
+        if n > 0.7 * before:
+            break
+    return lightest(held)
+
+
 def spanning_forest(df: DataFrame, limit: float, id_col: str = "vec_id", vec: str = "embedding", by: Metric = COSINE, cores: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(a, b, d): the minimum spanning forest of the rows' pairs at a distance of at most ``limit``; with ``within``, of each value of it.
 
     With ``cores`` (id, core) the distance of a pair is at least the core distance of either, and rows
     without one are left out.  Each block of the matrix gives its own forest, fewer edges than it has rows: an edge that is the heaviest of
-    a circle in a block is so in the whole.  The forests are joined by their lightest edges.
+    a circle in a block is so in the whole.  So a task, and shares of what the tasks give, keep their forests only; those are joined by their lightest edges.
     """
     placed = metric.cells(metric.points(df, by, id_col, vec, within), by, limit)
     kind = placed.schema["id"].dataType.simpleString()
-    placed = placed.join(cores, "id") if cores is not None else placed.withColumn("core", F.lit(0.0))
+    placed = placed.join(cores, "id") if cores is not None else placed
 
-    def see(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def see(left: metric.Part, right: metric.Part, same: bool) -> pd.DataFrame:
         d = metric.block_distances(by, left, right, same)
-        d = np.maximum(np.maximum(d, left["core"].to_numpy()[:, None]), right["core"].to_numpy()[None, :])
-        return pd.DataFrame(metric.forest(d, left["id"].to_numpy(), right["id"].to_numpy(), limit), columns=["a", "b", "d"])
+        if left.core is not None:
+            d = np.maximum(np.maximum(d, left.core[:, None]), right.core[None, :])
+        return metric.forest(d, left.id, right.id, limit)
 
-    return lightest(metric.in_blocks(placed, see, f"a {kind}, b {kind}, d double"))
+    return joined_forests(metric.in_blocks(placed, see, f"a {kind}, b {kind}, d double", _lightest))

@@ -61,6 +61,16 @@ def test_pairs_equal_all_pairs(spark, tiny_blocks, name, eps):
     assert len(found) == len(set(found)) and set(found) == plain_pairs(rows, m, eps)
 
 
+def test_blocks_copy_no_rows_for_the_pairs(spark, tiny_blocks):
+    """Parts of a cell meet in a product: a copy of each row for each part would grow with the square of a cell."""
+    rows = [(i, x, y) for i, x, y in sample(500, 7, clusters=1)]
+    placed = metric.points(frame(spark, rows, metric.COSINE), metric.COSINE, "vec_id", "embedding").withColumn("guest", F.lit(0).cast("long"))
+    made = metric.pairs_within(placed, metric.COSINE, 0.3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    assert {(r["a"], r["b"]) for r in made.collect()} == plain_pairs(rows, metric.COSINE, 0.3)
+
+
 def test_cells_meet_their_pivots_in_many_partitions(spark, monkeypatch):
     """Rows and pivots of a cell meet in one task, however many partitions there are; some salts have no rows."""
     monkeypatch.setattr(metric, "BLOCK", 32)
@@ -151,6 +161,22 @@ def test_forest_equals_plain(spark, tiny_blocks, name, limit):
     assert sorted(round(r["d"], 9) for r in got) == plain_forest(rows, m, limit)
 
 
+@pytest.mark.parametrize("share", [500_000, 150])
+def test_forests_of_tasks_are_joined_by_shares(spark, tiny_blocks, monkeypatch, share):
+    """What fits a share is joined there; rounds are for larger forests only."""
+
+    def rounds(edges):
+        assert share < 200, "a round for a forest of one share"
+        return lightest(edges)
+
+    lightest = spanning.lightest
+    monkeypatch.setattr(spanning, "CHUNK", share)
+    monkeypatch.setattr(spanning, "lightest", rounds)
+    rows = sample(190, 6) + [(500 + i, [1.0] * 6, [0.0, 0.0]) for i in range(10)]
+    got = spanning.spanning_forest(frame(spark, rows, metric.COSINE), 2.0).collect()
+    assert np.allclose(sorted(r["d"] for r in got), plain_forest(rows, metric.COSINE, 2.0), atol=1e-8)
+
+
 def test_core_distances_and_their_forest(spark, tiny_blocks):
     rows = sample(150, 5)
     df = frame(spark, rows, metric.COSINE)
