@@ -125,6 +125,15 @@ def test_dbscan_equals_plain(spark, tiny_blocks, name, eps):
     assert got == plain_dbscan(rows, m, eps, 4)
 
 
+def test_links_of_a_dense_cluster_are_as_many_as_its_rows(spark, tiny_blocks):
+    """A task gives one forest of all its blocks, not one of each."""
+    rows = [(i, [1.0, 0.0], [0.0, 0.0]) for i in range(200)]
+    df = frame(spark, rows, metric.COSINE)
+    placed = metric.points(df, metric.COSINE, "vec_id", "embedding").withColumn("guest", F.lit(0).cast("long"))
+    assert metric.core_links(placed, df.select(F.col("vec_id").alias("id")), metric.COSINE, 0.1).count() == 199
+    assert {r["others"] for r in metric.neighbour_weights(placed, metric.COSINE, 0.1).collect()} == {199}
+
+
 def test_within_and_weights(spark):
     rows = [(1, [1.0, 0.0], []), (2, [1.0, 0.001], []), (3, [1.0, 0.002], []), (4, [0.0, 1.0], [])]
     df = frame(spark, rows, metric.COSINE).withColumn("g", F.when(F.col("vec_id") != 2, "x").otherwise("y")).withColumn("n", F.when(F.col("vec_id") == 4, 5).otherwise(1))
